@@ -43,3 +43,11 @@ def crc_mod(column: str, divisor: int):
 def spread(df: DataFrame, *keep: str) -> DataFrame:
     """Only the named columns, so that extra columns can't clash with those made here."""
     return df.select(*keep)
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Fewer rows at a time in Arrow exchange with Python workers, so that long texts and their
+    hashes stay within a worker's memory; a smaller setting is left alone."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from framewright.llm import decontaminate, jaccard, langid, linededup, mixing, secrets, tokencounts, topk, toxicity
+from framewright.llm import decontaminate, jaccard, langid, linededup, mixing, secrets, suffixdedup, tokencounts, topk, toxicity
 
 QUERIES = {
     "op1_token_rollup": tokencounts.op1_token_rollup,
     "op2_line_dedup": linededup.op2_line_dedup,
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op5_suffix_dedup": suffixdedup.op5_suffix_dedup,
     "op6_language_id": langid.op6_language_id,
     "op7_jaccard_join": jaccard.op7_jaccard_join,
     "op8_decontaminate": decontaminate.op8_decontaminate,
