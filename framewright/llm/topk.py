@@ -5,9 +5,10 @@ coordinate sqrt(M - |c|^2) on every candidate (M the greatest squared length), t
 orders candidates as the distance to the query does: d^2 = |q|^2 + M - 2 q.c. Every candidate's
 distances to a few dozen pivots are computed once for each block; by the triangle inequality the
 greatest difference between a query's and a candidate's pivot distances bounds their distance
-from below. A query takes candidates in order of that bound and stops when the next bound exceeds
-its k-th best distance, so the result is exact. A k-th distance known from the pivots' own sample
-makes the first block stop early too.
+from below. Queries take candidates in order of that bound and stop when the next bound exceeds
+their k-th best distance, so the result is exact. A k-th distance known from the pivots' own sample
+makes the first block stop early too. How much is left out depends on the data: vectors spread
+evenly over a sphere of many dimensions leave nearly all to be scored, clusters leave few.
 
 Pivots are chosen farthest-first from a bounded sample. The query set (a stated share of the
 rows) is dealt into blocks of at most ``block`` queries; one block at a time is sent to the
@@ -15,7 +16,7 @@ tasks, each block against all rows. Every task returns its k best for each query
 an aggregation over the query's key.
 
 Vectors that are null, empty, or hold a null or a component that is not finite take no part, nor
-do those of another length than most of the pivot sample. Components are taken as |64 x| < 2**24.
+do those of another length than most of the pivot sample. Components are taken as |64 x| < 2**23 (sums then are exact in doubles).
 Equal scores go to the smaller vec_id, repeated vectors are candidates each. With fewer than k
 candidates all are returned. Empty tables give empty results.
 """
@@ -51,16 +52,6 @@ def distances(a: np.ndarray, a2: np.ndarray, b: np.ndarray, b2: np.ndarray) -> n
     return np.sqrt(np.maximum(a2[:, None] + b2[None, :] - 2 * (a @ b.T), 0))
 
 
-def best_of(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k highest scores, ties to smaller ids, in order."""
-    if len(score) > k:
-        least = np.partition(score, len(score) - k)[len(score) - k]
-        at = np.flatnonzero(score >= least)
-        score, ids = score[at], ids[at]
-    by = np.lexsort((ids, -score))[:k]
-    return score[by], ids[by]
-
-
 class Pivots:
     """Pivot vectors with their extra coordinate, and the bound M on squared lengths."""
 
@@ -87,37 +78,50 @@ class Pivots:
         return distances(ext, (ext * ext).sum(1), self.at, self.n2)
 
 
-def search_block(q_ids, q, start, ids, c, pivots: Pivots, k: int, step: int = 512):
-    """Each query's k best of one block of candidates. start: a score that k candidates reach."""
-    ext = pivots.extended(c)
-    rows = pivots.table(ext).astype(np.float32)
-    qx = np.hstack([q, np.zeros((len(q), 1))])
-    columns = pivots.table(qx).astype(np.float32)
+def search_block(q_ids, q, start, ids, c, pivots: Pivots, k: int, group: int = 64, strip: int = 2048):
+    """Each query's k best of one block of candidates. start: a score that k candidates reach.
+
+    Queries go in groups of near ones, so that one order of candidates by their bound serves a
+    group, and strips of that order are scored by one matrix product."""
+    rows = pivots.table(pivots.extended(c)).astype(np.float32).T.copy()
+    columns = pivots.table(np.hstack([q, np.zeros((len(q), 1))])).astype(np.float32)
     q2 = (q * q).sum(1)
-    ci = c.astype(np.int64)
     # Room for rounding in the bounds, relative to the lengths at hand.
     slack = 1e-3 + 1e-5 * float(np.sqrt(pivots.top + q2.max(initial=0)))
-    out_q, out_id, out_s = [], [], []
-    for j in range(len(q)):
-        low = np.abs(rows - columns[j]).max(1)
-        reach = np.sqrt(max(0.0, q2[j] + pivots.top - 2 * start[j])) + slack if np.isfinite(start[j]) else np.inf
-        near = np.flatnonzero(low <= reach)
-        near = near[np.argsort(low[near], kind="stable")]
-        score, got = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        qi = q[j].astype(np.int64)
-        for a in range(0, len(near), step):
-            if low[near[a]] > reach:
-                break
-            at = near[a : a + step]
-            s, i = ci[at] @ qi, ids[at]
-            other = i != q_ids[j]
-            score, got = best_of(np.append(score, s[other]), np.append(got, i[other]), k)
-            if len(score) == k:
-                reach = min(reach, np.sqrt(max(0.0, q2[j] + pivots.top - 2 * float(score[-1]))) + slack)
-        out_q.append(np.full(len(got), q_ids[j]))
-        out_id.append(got)
-        out_s.append(score)
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_q, out_id, out_s))
+    reach_of = lambda j, score: np.sqrt(np.maximum(0.0, q2[j] + pivots.top - 2 * score)) + slack
+    near = np.lexsort((columns.min(1), columns.argmin(1)))
+    out: list = []
+    for a in range(0, len(q), group):
+        j = near[a : a + group]
+        low = np.zeros((len(j), len(c)), np.float32)
+        for p in range(len(rows)):
+            np.maximum(low, np.abs(rows[p][None, :] - columns[j, p][:, None]), out=low)
+        least = low.min(0)
+        order = np.argsort(least, kind="stable")
+        kth = start[j].copy()
+        reach = reach_of(j, kth)
+        best = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        for b in range(0, len(c), strip):
+            at = order[b : b + strip]
+            if least[at[0]] > reach.max():
+                break  # no candidate further on can reach any query of the group
+            score = c[at] @ q[j].T
+            x, y = np.nonzero((score >= kth[None, :]) & (low[:, at].T <= reach[None, :]))
+            other = ids[at[x]] != q_ids[j[y]]
+            x, y = x[other], y[other]
+            row = np.concatenate([best[0], y])
+            value = np.concatenate([best[1], score[x, y]])
+            who = np.concatenate([best[2], ids[at[x]]])
+            by = np.lexsort((who, -value, row))
+            row, value, who = row[by], value[by], who[by]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            keep = place < k
+            best = (row[keep], value[keep], who[keep])
+            full = place == k - 1
+            kth[row[full]] = np.maximum(kth[row[full]], value[full])
+            reach = reach_of(j, kth)
+        out.append((q_ids[j[best[0]]], best[2], best[1].astype(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
 
 def _search(batches: Iterator[pd.DataFrame], shared, k: int) -> Iterator[pd.DataFrame]:
@@ -144,7 +148,7 @@ def _search(batches: Iterator[pd.DataFrame], shared, k: int) -> Iterator[pd.Data
 
 
 def search(
-    vectors: DataFrame, is_query: Column, k: int = 20, pivots: int = 48, sample: int = 2048, block: int = 4096
+    vectors: DataFrame, is_query: Column, k: int = 20, pivots: int = 16, sample: int = 2048, block: int = 4096
 ) -> DataFrame:
     """query_id, rank, vec_id, score over the rows of ``vectors`` (vec_id, embedding)."""
     spark = vectors.sparkSession
