@@ -22,9 +22,10 @@ anchors stand at multiples of v; tied windows then have one phase and one cover
 which is a cover of the differences that occur (multiples of v). ``window_classes`` takes any
 layout with a full difference cover.
 
-A bucket with more than ``most`` different segments is not gathered in a task: its windows become
-rows keyed by prefix, cover rank and tail (as fingerprints) and are counted by a distributed
-aggregation, which splits any group.
+A bucket with more than ``most`` different segments is not gathered in a task: it is thinned once
+more by equal stretches of segments, and the windows that are left become rows keyed by prefix,
+what lies between and tail (as fingerprints), counted by a distributed aggregation, which splits
+any group.
 
 Order of v-byte blocks is by 64-bit fingerprint in place of the bytes; equality, which alone
 decides here, is that of the bytes but for collisions of 2^-64.
@@ -47,7 +48,7 @@ from pyspark.sql import functions as F
 from framewright.llm.common import materialize, small_batches
 from framewright.llm.textkit import Powers, chunks, join_utf8, mix64, prefix_hash
 
-LENGTH, MOST, BLOCK = 400, 64, 2 << 20
+LENGTH, MOST, BLOCK, STRETCH = 400, 64, 2 << 20, 16
 
 
 def fingerprints(c: np.ndarray, starts: np.ndarray, n, pw: Powers) -> np.ndarray:
@@ -265,19 +266,49 @@ def _sort_blocks(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.Da
         yield repeats_of(held, length, pw)
 
 
+def _places(rows: pd.DataFrame, pw: Powers) -> tuple:
+    """(prefix hash of the joined spans, row, window in its segment, byte) of every window."""
+    buf = np.frombuffer(b"".join(rows["span"]) + b"\0", np.uint8)
+    size = rows["size"].to_numpy(np.int64)
+    base = np.cumsum([0, *rows["span"].map(len)])[:-1]
+    row = np.repeat(np.arange(len(rows)), size)
+    inner = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    return prefix_hash(buf, pw), row, inner, base[row] + inner
+
+
+def _stretches(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
+    """Segments in stretches of STRETCH windows, counted from the anchor, each with the hash of
+    its span and place."""
+    pw = Powers()
+    for pdf in batches:
+        for a in range(0, len(pdf), 256):
+            rows = pdf.iloc[a : a + 256]
+            c, row, inner, at = _places(rows, pw)
+            to_anchor = inner - rows["offset"].to_numpy(np.int64)[row]
+            stretch = to_anchor // STRETCH
+            head = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(stretch) != 0)))
+            size = np.diff(np.append(head, len(row)))
+            whole = fingerprints(c, at[head], size - 1 + length, pw)
+            place = mix64((to_anchor[head] + (1 << 30)).astype(np.uint64) * np.uint64(1 << 20) + size.astype(np.uint64))
+            yield pd.DataFrame(
+                {
+                    "anchor": rows["anchor"].to_numpy()[row[head]], "stretch": stretch[head], "whole": signed(mix64(whole ^ place)),
+                    "doc_id": rows["doc_id"].to_numpy()[row[head]], "segment": rows["first"].to_numpy()[row[head]], "inner": inner[head], "size": size,
+                }
+            )
+
+
 def _windows(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
-    """Rows of single windows with the three parts of their key in two fingerprints."""
+    """Rows of single windows of the wanted stretches, with the three parts of their key in two
+    fingerprints."""
     pw, v = Powers(), period(length)
     for pdf in batches:
         for a in range(0, len(pdf), 256):
             rows = pdf.iloc[a : a + 256]
-            buf = np.frombuffer(b"".join(rows["span"]) + b"\0", np.uint8)
-            c = prefix_hash(buf, pw)
-            size = rows["size"].to_numpy(np.int64)
-            base = np.cumsum([0, *rows["span"].map(len)])[:-1]
-            row = np.repeat(np.arange(len(rows)), size)
-            inner = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-            at = base[row] + inner
+            c, row, inner, at = _places(rows, pw)
+            stretch = (inner - rows["offset"].to_numpy(np.int64)[row]) // STRETCH
+            use = np.concatenate([np.isin(stretch[row == i], w) for i, w in enumerate(rows["want"])])
+            row, inner, at = row[use], inner[use], at[use]
             yield pd.DataFrame(
                 {
                     "head": signed(mix64(fingerprints(c, at, v, pw)) + fingerprints(c, at + length - v, v, pw)),
@@ -288,6 +319,46 @@ def _windows(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFr
             )
 
 
+def _large_buckets(spans: DataFrame, length: int, ident: str) -> DataFrame:
+    """The repeats among segments of buckets too large for one task. As with segments, equal
+    stretches repeat in full and one stands for all; only the windows of different stretches at
+    one place of a bucket become rows, and an aggregation finds those that occur twice."""
+    stretches = materialize(
+        spans.mapInPandas(
+            lambda it: _stretches(it, length),
+            f"anchor long, stretch long, whole long, doc_id {ident}, segment long, inner long, size long",
+        ),
+        "stretches",
+    )
+    keys = ["anchor", "stretch", "whole"]
+    distinct = materialize(
+        stretches.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "segment")).alias("at")), "distinct-stretches"
+    )
+    in_full = stretches.join(distinct.filter("n > 1").select(*keys), keys, "left_semi").select(
+        "doc_id", (F.col("segment") + F.col("inner")).alias("first"), "size"
+    )
+    open_places = (
+        distinct.groupBy("anchor", "stretch")
+        .agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"))
+        .filter("kinds > 1 and least = 1")
+        .select("anchor", "stretch")
+    )
+    wanted = (
+        distinct.join(open_places, ["anchor", "stretch"])
+        .groupBy("anchor", F.col("at.doc_id").alias("doc_id"), F.col("at.segment").alias("first"))
+        .agg(F.collect_list("stretch").alias("want"))
+    )
+    windows = materialize(
+        spans.join(wanted, ["anchor", "doc_id", "first"])
+        .select("anchor", "doc_id", "first", "size", "offset", "span", "want")
+        .mapInPandas(lambda it: _windows(it, length), f"head long, body long, doc_id {ident}, first long"),
+        "windows",
+    )
+    twice = windows.groupBy("head", "body").count().filter("count > 1").select("head", "body")
+    single = windows.join(twice, ["head", "body"], "left_semi").select("doc_id", "first", F.lit(1).cast("long").alias("size"))
+    return in_full.unionByName(single)
+
+
 def repeat_runs(docs: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFrame:
     """doc_id, first, size: runs of windows (byte offset of the first, number) that occur elsewhere."""
     small_batches(docs.sparkSession)
@@ -336,17 +407,8 @@ def repeat_runs(docs: DataFrame, length: int = LENGTH, most: int = MOST) -> Data
         spans.filter("not big").drop("big").repartition("anchor").sortWithinPartitions("anchor")
         .mapInPandas(lambda it: _sort_blocks(it, length), f"doc_id {ident}, first long, size long")
     )
-    windows = materialize(
-        spans.filter("big").drop("big").mapInPandas(
-            lambda it: _windows(it, length), f"head long, body long, doc_id {ident}, first long"
-        ),
-        "windows",
-    )
-    twice = windows.groupBy("head", "body").count().filter("count > 1").select("head", "body")
-    counted = windows.join(twice, ["head", "body"], "left_semi").select(
-        "doc_id", "first", F.lit(1).cast("long").alias("size")
-    )
-    return in_full.unionByName(sorted_blocks).unionByName(counted)
+    large = _large_buckets(spans.filter("big").drop("big"), length, ident)
+    return in_full.unionByName(sorted_blocks).unionByName(large)
 
 
 def _apply(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
