@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,6 +32,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Give back disk: delete stored tables that nothing reads any more, and let Spark drop the
+    shuffle files of finished queries, which it keeps until the driver collects its garbage."""
+    jvm = spark.sparkContext._jvm
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -45,7 +58,7 @@ def spread(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Fewer rows at a time in Arrow exchange with Python workers, so that long texts and their
     hashes stay within a worker's memory; a smaller setting is left alone."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

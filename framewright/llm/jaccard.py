@@ -11,16 +11,16 @@ a and b with Jaccard similarity t or more differ in at most d = (1-t)/(1+t) * (a
 Pigeonhole join: give the non-empty words one order for all documents. Among a set's first
 d + 1 + s words at least 1 + s are untouched by the difference and lie among the other set's
 first d + 1 + s as well: so every pair to be found shares 1 + s of the words that both emit.
-Size bands [3^k, 4*3^k) overlap so that any pair of sizes within ratio t meets in one band.
+Size bands [12^k, 16*12^k) overlap so that any pair of sizes within ratio t meets in one band.
 Words of shingles that very many documents hold come last in that order (their choice, by a
 frequency summary of all documents, changes the work only, never the result), so a passage that
 a third of all documents share makes no candidates.
 
-Links: for the component of each document it is enough to know a spanning set of links. Each class
-is first verified against the one class that shares most words with it among the smallest of its
-word groups; then only pairs of classes that share 1 + s words and lie in different components
-yet are verified. Verification first compares 1024-bit parity sketches (Hamming distance over d
-rules a pair out), then the sets. No pair that may link is left out.
+Links: for the component of each document it is enough to know a spanning set of links. In rounds,
+each class is verified against one class that shares most words with it, among leaders of its word
+groups; then all pairs of classes that share 1 + s words, still lie in different components and
+whose 1024-bit parity sketches (whose Hamming distance is a lower bound again) lie within d are
+verified. No pair that may link is left out.
 
 Hashes have 64 bits. Null or empty texts and texts without words have no shingles and link with
 nothing; shorter texts have one shingle. Rows without doc_id take no part; doc_id names one
@@ -30,19 +30,23 @@ document, repeated rows count once. Extra columns are ignored. Similarity must b
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from framewright.llm.common import materialize
+from framewright.llm.common import materialize, release, small_batches
 from framewright.llm.graph import components
 from framewright.llm.textkit import Powers, mix64, shingles
 
 SIZE, NUM, DEN = 5, 75, 100
 SUMMARY, OFTEN, MOST_FREQUENT = 20_000, 500, 200_000
-SKETCH = 1024
+STEP, RATIO = 12, 16  # a band's start over the last one's, and its end over its start: RATIO/STEP is 1/t
+SPARE, SKETCH = 32, 1024
+PASSES, ROUNDS, FEW = 2, 3, 8
 
 
 def most_apart(a: int, b: int) -> int:
@@ -52,7 +56,7 @@ def most_apart(a: int, b: int) -> int:
 
 def spare(n: int) -> int:
     """Words that a set emits beyond the pigeonhole's need."""
-    return n // 16
+    return n // SPARE
 
 
 def emitted(n: int) -> int:
@@ -109,14 +113,14 @@ def words(s: np.ndarray, frequent: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """(band, keys): the words that a set emits in each of its size bands."""
     n = len(s)
     top = 0
-    while 3 ** (top + 1) <= n:
+    while STEP ** (top + 1) <= n:
         top += 1
     late = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s if len(frequent) else np.zeros(n, bool)
     out = []
     for band in (top, top - 1):
-        if band < 0 or n >= 4 * 3**band:
+        most = RATIO * STEP**band
+        if band < 0 or n >= most:
             continue
-        most = 4 * 3**band
         parts = np.uint64(most if most > 1024 else 1 << 40)
         part = mix64(s ^ np.uint64(0x5BD1E995)) % parts + np.where(late, parts, np.uint64(0))
         by = np.argsort(part, kind="stable")
@@ -131,7 +135,11 @@ def words(s: np.ndarray, frequent: np.ndarray) -> list[tuple[int, np.ndarray]]:
 def _emit(batches: Iterator[pd.DataFrame], size: int, shared) -> Iterator[pd.DataFrame]:
     pw, frequent = Powers(), shared.value
     for pdf in batches:
-        keys, nodes, counts, held = [], [], [], 0
+        keys, nodes, held = [], [], 0
+
+        def rows() -> pd.DataFrame:
+            return pd.DataFrame({"key": signed(np.concatenate(keys)), "node": signed(np.concatenate(nodes))})
+
         for s in shingles(list(pdf["text"]), size, pw):
             if not len(s):
                 continue
@@ -139,13 +147,12 @@ def _emit(batches: Iterator[pd.DataFrame], size: int, shared) -> Iterator[pd.Dat
             for _, k in words(s, frequent):
                 keys.append(k)
                 nodes.append(np.full(len(k), node, np.uint64))
-                counts.append(np.full(len(k), len(s), np.int32))
                 held += len(k)
             if held > 1 << 19:
-                yield pd.DataFrame({"key": signed(np.concatenate(keys)), "node": signed(np.concatenate(nodes)), "n": np.concatenate(counts)})
-                keys, nodes, counts, held = [], [], [], 0
+                yield rows()
+                keys, nodes, held = [], [], 0
         if held:
-            yield pd.DataFrame({"key": signed(np.concatenate(keys)), "node": signed(np.concatenate(nodes)), "n": np.concatenate(counts)})
+            yield rows()
 
 
 def parity(s: np.ndarray) -> np.ndarray:
@@ -162,16 +169,16 @@ def _sets(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
             rows = pdf.iloc[a : a + step]
             made = list(shingles(list(rows["text"]), size, pw))
             yield pd.DataFrame(
-                {"node": rows["node"], "s": [x.tobytes() for x in made], "b": [parity(x).tobytes() for x in made]}
+                {"node": rows["node"], "s": [x.tobytes() for x in made], "b": [parity(x).view(np.int64) for x in made]}
             )
 
 
-def linked(x: bytes, y: bytes, bx: bytes, by: bytes) -> bool:
+def linked(x: bytes, y: bytes, bx: np.ndarray, by: np.ndarray) -> bool:
     a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
     small, large = (a, b) if len(a) <= len(b) else (b, a)
     if DEN * len(small) < NUM * len(large):
         return False
-    apart = np.bitwise_count(np.frombuffer(bx, np.uint64) ^ np.frombuffer(by, np.uint64)).sum()
+    apart = np.bitwise_count((np.asarray(bx) ^ np.asarray(by)).view(np.uint64)).sum()
     if apart > most_apart(len(a), len(b)):
         return False
     at = np.searchsorted(large, small)
@@ -180,16 +187,21 @@ def linked(x: bytes, y: bytes, bx: bytes, by: bytes) -> bool:
     return DEN * both >= NUM * (len(a) + len(b) - both)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _linked(sx: pd.Series, sy: pd.Series, bx: pd.Series, by: pd.Series) -> pd.Series:
     return pd.Series([linked(*r) for r in zip(sx, sy, bx, by)], dtype=bool)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those pairs (u, v) whose sets link."""
+    """Those pairs (u, v, more columns) whose sets link."""
     x = sets.select(F.col("node").alias("u"), F.col("s").alias("su"), F.col("b").alias("bu"))
     y = sets.select(F.col("node").alias("v"), F.col("s").alias("sv"), F.col("b").alias("bv"))
-    return pairs.join(x, "u").join(y, "v").filter(_linked("su", "sv", "bu", "bv")).select("u", "v")
+    return pairs.join(x, "u").join(y, "v").filter(_linked("su", "sv", "bu", "bv")).select(*pairs.columns)
+
+
+def fits(a: str, b: str):
+    """Whether sets of sizes a and b may link."""
+    return DEN * F.least(a, b) >= NUM * F.greatest(a, b)
 
 
 def classes(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
@@ -207,6 +219,7 @@ def link(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest doc_id with this very set), component_id (smallest
     doc_id reachable by links)."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     base, summary = classes(docs, size)
     total = base.filter("n > 0").count()
@@ -216,48 +229,42 @@ def link(docs: DataFrame, size: int = SIZE) -> DataFrame:
         .orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).select("h").toPandas()["h"].to_numpy(np.int64)
     )
     shared = spark.sparkContext.broadcast(np.sort(often.view(np.uint64)))
-    keys = materialize(
-        docs.mapInPandas(lambda it: _emit(it, size, shared), "key long, node long, n int"), "words"
-    )
-    same = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
-    hits = keys.join(same.select("key", "low"), "key").select("key", "node", "n", "low").distinct()
-    # A class that is to link shares at least 1 + spare(smaller size) words with one other.
-    enough = F.floor(F.floor(F.col("n") * NUM / DEN) / 16) + 1
-    hits = materialize(hits, "shared-words")
-    likely = hits.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).filter(F.col("c") >= enough)
-    hits = materialize(hits.join(likely.select("node"), "node", "left_semi"), "shared-words")
+    keys = materialize(docs.mapInPandas(lambda it: _emit(it, size, shared), "key long, node long"), "words")
+    # Words that come once meet nothing. The count alone is the narrowest row to find them by; a
+    # share of the words at a time bounds the disk that this takes.
+    parts = []
+    for p in range(PASSES):
+        mine = keys.filter(F.pmod("key", F.lit(PASSES)) == p)
+        # Stored first: a join between plain exchanges is one whose hot keys are split.
+        again = materialize(mine.groupBy("key").count().filter("count > 1").select("key"), "word-counts")
+        release(spark)
+        parts.append(materialize(mine.join(again.hint("shuffle_hash"), "key", "left_semi"), "repeated-words"))
+        release(spark)
+    release(spark, keys)
+    repeated = reduce(DataFrame.unionByName, parts)
+    same = repeated.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
+    same = materialize(same.select("key"), "shared-word-keys")
+    hits = materialize(repeated.join(same.hint("shuffle_hash"), "key", "left_semi"), "shared-words")
+    release(spark, *parts)
+    # A class that is to link shares at least 1 + spare(smaller size) words with one other. The
+    # share of its words that others hold tells how central a class is.
+    sizes = base.filter("n > 0").select(F.col("h").alias("node"), "n").distinct()
+    enough = F.floor(F.floor(F.col("n") * NUM / DEN) / SPARE) + 1
+    likely = hits.groupBy("node").count().join(sizes, "node").filter(F.col("count") >= enough)
+    likely = likely.select("node", "n", (F.col("count") / F.col("n")).alias("w"))
+    wide, hits = hits, materialize(hits.join(likely.hint("shuffle_hash"), "node").distinct(), "likely-words")
+    release(spark, wide)
     first = base.filter("n > 0").groupBy("h").agg(F.min("id").alias("doc_id"))
     wanted = first.join(hits.select(F.col("node").alias("h")).distinct(), "h", "left_semi")
     sets = materialize(
         docs.join(wanted.withColumnRenamed("h", "node"), "doc_id")
         .select("node", "text")
-        .mapInPandas(lambda it: _sets(it, size), "node long, s binary, b binary")
+        .mapInPandas(lambda it: _sets(it, size), "node long, s binary, b array<long>")
         .dropDuplicates(["node"]),
         "sets",
     )
-    star = (
-        hits.filter("node <> low").groupBy("node", "low").count()
-        .groupBy("node").agg(F.max_by("low", F.struct("count", "low")).alias("low"))
-        .select(F.col("low").alias("u"), F.col("node").alias("v"))
-    )
-    links = materialize(verified(star, sets), "links")
-    roots = components(links)
-    rest = hits.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    rest = materialize(rest, "rooted-words")
-    open_keys = rest.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
-    part = rest.join(open_keys, "key", "left_semi")
-    x = part.select("key", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru"))
-    y = part.select("key", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"))
-    apart = (
-        x.join(y, "key")
-        .filter("u < v AND ru <> rv")
-        .filter(DEN * F.least("nu", "nv") >= NUM * F.greatest("nu", "nv"))
-        .groupBy("u", "v", "nu", "nv").count()
-        .filter(F.col("count") >= F.floor(F.least("nu", "nv") / 16) + 1)
-        .select("u", "v")
-    )
-    links = links.unionByName(materialize(verified(apart, sets), "links"))
-    roots = components(links)
+    release(spark)
+    roots = _roots(hits, sets)
     named = (
         first.join(roots, first["h"] == roots["node"], "left")
         .select("h", "doc_id", F.coalesce("root", "h").alias("root"))
@@ -274,6 +281,62 @@ def link(docs: DataFrame, size: int = SIZE) -> DataFrame:
     )
 
 
+def _roots(hits: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, root of every class in hits (key, node, n, w).
+
+    Each round takes one leader for every word group that still spans several components: first the
+    class with most of its words shared, later a random one. Each class is verified against the
+    leader it shares most words with. Rounds end when pairs of different components that share a word
+    are few against the rows of hits, or after ROUNDS. All those pairs are joined then, under the
+    condition that their parity sketches lie within the bound, and verified: no link between
+    components is left."""
+    rows = hits.count()
+    roots = materialize(hits.select("node", F.col("node").alias("root")).distinct(), "roots")
+    state = hits.withColumn("root", F.col("node"))
+
+    def merged(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        found = components(links.select(F.col("ru").alias("u"), F.col("rv").alias("v")))
+        moved = found.select(F.col("node").alias("root"), F.col("root").alias("_to"))
+        onto = lambda df: df.join(moved, "root", "left").withColumn("root", F.coalesce("_to", "root")).drop("_to")
+        return materialize(onto(roots), "roots"), onto(state)
+
+    for r in range(ROUNDS):
+        rank = F.xxhash64("node", F.lit(r)) if r else -F.col("w")
+        groups = (
+            state.groupBy("key")
+            .agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min(F.struct(rank.alias("rank"), "node", "root", "n")).alias("lead"))
+            .filter("a <> b")
+            .select("key", F.col("lead.node").alias("u"), F.col("lead.root").alias("ru"), F.col("lead.n").alias("nu"))
+        )
+        groups = materialize(groups, "leaders")
+        state = materialize(state.select("key", "node", "n", "root", "w").join(groups, "key"), "open-words")
+        release(hits.sparkSession)
+        each = state.groupBy("key", "root").count().groupBy("key").agg(F.sum("count").alias("g"), F.sum(F.col("count") * F.col("count")).alias("q"))
+        pairs = each.agg(F.sum((F.col("g") * F.col("g") - F.col("q")) / 2)).first()[0] or 0
+        if pairs <= FEW * rows and (r or not pairs):
+            break
+        votes = state.filter(F.col("root") != F.col("ru")).filter(fits("n", "nu")).groupBy("node", "root", "u", "ru").count()
+        best = votes.groupBy(F.col("node").alias("v"), F.col("root").alias("rv")).agg(F.max_by(F.struct("u", "ru"), F.struct("count", "u")).alias("x"))
+        links = materialize(verified(best.select("v", "rv", "x.u", "x.ru"), sets), "links")
+        roots, state = merged(links)
+    bits = range(SKETCH // 64)
+    sketches = sets.select("node", *[F.col("b")[i].alias(f"b{i}") for i in bits])
+    wide = state.select("key", "node", "n", "root").join(sketches, "node")
+    x = wide.select("key", *[F.col(c).alias(f"{c}_u") for c in ("node", "n", "root", *[f"b{i}" for i in bits])])
+    y = wide.select("key", *[F.col(c).alias(f"{c}_v") for c in ("node", "n", "root", *[f"b{i}" for i in bits])])
+    differ = sum((F.bit_count(F.col(f"b{i}_u").bitwiseXOR(F.col(f"b{i}_v"))) for i in bits), F.lit(0))
+    near = differ * (DEN + NUM) <= (DEN - NUM) * (F.col("n_u") + F.col("n_v"))
+    apart = (
+        x.join(y, (x["key"] == y["key"]) & (F.col("node_u") < F.col("node_v")) & (F.col("root_u") != F.col("root_v")) & fits("n_u", "n_v") & near)
+        .groupBy("node_u", "node_v", "n_u", "n_v", "root_u", "root_v").count()
+        .filter(F.col("count") >= F.floor(F.least("n_u", "n_v") / SPARE) + 1)
+        .select(F.col("node_u").alias("u"), F.col("node_v").alias("v"), F.col("root_u").alias("ru"), F.col("root_v").alias("rv"))
+    )
+    links = materialize(verified(apart, sets), "links")
+    release(hits.sparkSession)
+    return merged(links)[0]
+
+
 def clean(docs: DataFrame) -> DataFrame:
     """``docs`` with one document (the smallest doc_id) of each component."""
     keep = link(docs).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
@@ -282,3 +345,21 @@ def clean(docs: DataFrame) -> DataFrame:
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return link(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM {docs}),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[j : j + 4], ' ') AS g FROM (
+    SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS j FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS whole FROM s GROUP BY doc_id),
+cls AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY whole) AS class_id FROM n),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 75 * (a.n + b.n - i)),
+both AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT doc_id, doc_id AS c FROM {docs} UNION SELECT both.y, r.c FROM r JOIN both ON both.x = r.doc_id),
+c AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(class_id, doc_id) AS class_id, component_id
+FROM c LEFT JOIN cls USING (doc_id)
+"""

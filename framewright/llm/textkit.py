@@ -57,7 +57,7 @@ def prefix_hash(buf: np.ndarray, pw: Powers) -> np.ndarray:
     return out
 
 
-def chunks(texts: list, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def chunks(texts: list, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Index ranges of about ``most`` characters; a longer text stands alone."""
     start, total = 0, 0
     for i, t in enumerate(texts):
