@@ -119,7 +119,7 @@ def _scan(batches: Iterator[pd.DataFrame], shared) -> Iterator[pd.DataFrame]:
     block = shared.value
     for pdf in batches:
         texts = list(pdf["text"])
-        ranges, items = list(pdf["_ranges"]), list(pdf["_items"])
+        ranges, items = list(pdf["_fw_ranges"]), list(pdf["_fw_items"])
         total = np.zeros(len(texts), np.int64)
         for a, b in chunks(texts, 4 << 20):
             counts, first, place, which = shard_hits(texts[a:b], block)
@@ -130,7 +130,7 @@ def _scan(batches: Iterator[pd.DataFrame], shared) -> Iterator[pd.DataFrame]:
                 spans = np.unique(np.stack([p, p + block.length[w]], 1), axis=0)
                 ranges[a + i] = merged([*decoded(ranges[a + i]), *map(tuple, spans)])
                 items[a + i] = sorted({*map(int, items[a + i]), *np.unique(block.item_of[w]).tolist()})
-        pdf["_words"], pdf["_ranges"], pdf["_items"] = total, ranges, items
+        pdf["_fw_words"], pdf["_fw_ranges"], pdf["_fw_items"] = total, ranges, items
         yield pdf
 
 
@@ -152,23 +152,26 @@ def merged(spans: list[tuple[int, int]]) -> list[int]:
 def flag(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = 2_000_000) -> DataFrame:
     """``docs`` with decon_words (long), decon_ranges (array of start, end, ... in words) and
     decon_items (array<long>, sorted)."""
+    made = {"decon_words": "_fw_words", "decon_ranges": "_fw_ranges", "decon_items": "_fw_items"}
+    keep = [c for c in docs.columns if c not in made]
+    return _flagged(docs, benchmark, window, block_words).select(*keep, *[F.col(c).alias(n) for n, c in made.items()])
+
+
+def _flagged(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> DataFrame:
     sc = docs.sparkSession.sparkContext
-    keep = [c for c in docs.columns]
     df = docs.withColumns(
-        {"_words": F.lit(0).cast("long"), "_ranges": F.array().cast("array<long>"), "_items": F.array().cast("array<long>")}
+        {"_fw_words": F.lit(0).cast("long"), "_fw_ranges": F.array().cast("array<long>"), "_fw_items": F.array().cast("array<long>")}
     )
     for block in _blocks(benchmark, window, block_words):
         shared = sc.broadcast(block)
         df = df.mapInPandas(lambda it, shared=shared: _scan(it, shared), df.schema)
-    return df.select(
-        *keep, F.col("_words").alias("decon_words"), F.col("_ranges").alias("decon_ranges"), F.col("_items").alias("decon_items")
-    )
+    return df
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = 2_000_000) -> DataFrame:
     """``docs`` without those that hold a window of a benchmark item."""
-    found = flag(docs, benchmark, window)
-    return found.filter(F.size("decon_items") == 0).select(*docs.columns)
+    found = _flagged(docs, benchmark, window, block_words)
+    return found.filter(F.size("_fw_items") == 0).select(*docs.columns)
 
 
 def _longest(batches: Iterator[pd.DataFrame], shared) -> Iterator[pd.DataFrame]:

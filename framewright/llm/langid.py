@@ -10,8 +10,8 @@ over the text's n-grams, so a whole text of any length is scored by table lookup
 
 Training takes at most ``per_language`` labelled rows of each language and ``most`` in all (a
 documented bound on the fit; every row is scored), chosen by a hash of doc_id at a rate that
-follows from the language's row count. Only text and lang of rows that ``learn`` admits are used; rows without lang teach
-nothing.
+follows from the language's row count. Only text and lang of rows that ``learn`` admits are used;
+rows without lang teach nothing.
 
 A text that is null or holds no letter gets ``und`` and score 0. Repeated rows get equal results.
 An empty table, or one without labels, gives ``und`` everywhere. Extra columns pass through.
@@ -191,16 +191,16 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 250, most: int = 200
     return Model(texts, langs)
 
 
-def _score(batches: Iterator[pd.DataFrame], shared) -> Iterator[pd.DataFrame]:
+def _score(batches: Iterator[pd.DataFrame], shared, lang: str, score: str) -> Iterator[pd.DataFrame]:
     model = shared.value
     for pdf in batches:
         texts = list(pdf["text"])
         langs, scores = [], [np.zeros(0)]
         for a, b in chunks(texts, 1 << 19):
-            lang, score = model.predict(texts[a:b])
-            langs += lang
-            scores.append(score)
-        pdf["lang_pred"], pdf["lang_score"] = langs, np.concatenate(scores)
+            found, sure = model.predict(texts[a:b])
+            langs += found
+            scores.append(sure)
+        pdf[lang], pdf[score] = langs, np.concatenate(scores)
         yield pdf
 
 
@@ -209,17 +209,17 @@ def learn_rule() -> Column:
     return crc_mod("doc_id", 3) != 1
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and lang_score."""
+def identify(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "lang_score") -> DataFrame:
+    """``docs`` with the predicted language and its score under these names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.withColumns({"lang_pred": F.lit(""), "lang_score": F.lit(0.0)}).schema
-    return docs.mapInPandas(lambda it: _score(it, shared), schema)
+    schema = docs.withColumns({lang: F.lit(""), score: F.lit(0.0)}).schema
+    return docs.mapInPandas(lambda it: _score(it, shared, lang, score), schema)
 
 
 def reject(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """``docs`` without texts of no language (``und``) or with a score under ``least``."""
-    found = identify(docs, fit(docs, learn_rule()))
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= least)).select(*docs.columns)
+    found = identify(docs, fit(docs, learn_rule()), "_fw_lang", "_fw_score")
+    return found.filter((F.col("_fw_lang") != UNKNOWN) & (F.col("_fw_score") >= least)).select(*docs.columns)
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:

@@ -87,14 +87,14 @@ def _marked(docs: DataFrame, site: str, min_sites: int, min_chars: int, keep_fir
         hits = hits.filter(
             (F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos"))
         )
-    return hits.groupBy("doc_id").agg(F.collect_set("pos").alias("_drop"))
+    return hits.groupBy("doc_id").agg(F.collect_set("pos").alias("_fw_drop"))
 
 
 def _removed(docs: DataFrame, drops: DataFrame) -> DataFrame:
     lines = _lines(F.col("text"))
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("_drop"), i)), "\n")
+    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("_fw_drop"), i)), "\n")
     return docs.join(drops, "doc_id", "left").withColumns(
-        {"_n": F.coalesce(F.size("_drop"), F.lit(0)), "_text": F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept)}
+        {"_fw_n": F.coalesce(F.size("_fw_drop"), F.lit(0)), "_fw_text": F.when(F.col("_fw_drop").isNull(), F.col("text")).otherwise(kept)}
     )
 
 
@@ -107,17 +107,17 @@ def strip_boilerplate(
 ) -> DataFrame:
     """``docs`` with boilerplate lines removed from text, and lines_removed (long)."""
     out = _removed(docs, _marked(docs, site, min_sites, min_chars, keep_first))
-    cols = [F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return out.select(*cols, F.col("_n").cast("long").alias("lines_removed"))
+    cols = [F.col("_fw_text").alias("text") if c == "text" else F.col(c) for c in docs.columns if c != "lines_removed"]
+    return out.select(*cols, F.col("_fw_n").cast("long").alias("lines_removed"))
 
 
-def clean(docs: DataFrame, **options) -> DataFrame:
+def clean(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` without boilerplate lines, and without documents that were nothing else."""
-    out = strip_boilerplate(docs, **options)
-    gone = (F.col("lines_removed") > 0) & (F.length(F.trim(F.col("text"))) == 0)
+    out = _removed(docs, _marked(docs, site, min_sites, min_chars, True))
+    gone = (F.col("_fw_n") > 0) & (F.length(F.trim(F.col("_fw_text"))) == 0)
     # n_chars describes the text, where the table has it.
-    cols = [F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.filter(~gone).select(*cols)
+    new = {"text": F.col("_fw_text"), "n_chars": F.length("_fw_text").cast("long")}
+    return out.filter(~gone).select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,9 @@ QUERIES = {
 #: Equivalent SQL, where SQL can say it over whole tables in fair time.
 ORACLES = {
     "op2_line_dedup": linededup.LINES_SQL.format(docs="documents"),
+    "op3_secret_scan": secrets.secrets_sql("documents"),
     "op4_mix_sources": mixing.MIX_SQL.format(docs="documents"),
+    "op7_jaccard_join": jaccard.JACCARD_SQL.format(docs="documents"),
     "op8_decontaminate": decontaminate.DECON_SQL.format(docs="documents"),
     "op9_topk_search": topk.TOPK_SQL,
 }

@@ -132,7 +132,7 @@ def _suspicious(c: EntropyClass, rules: SecretRules):
         allowed = F.lit(False)
         for pattern in rules.allow:
             allowed = allowed | hit.rlike(pattern)
-        base = F.exists(F.col("_base"), lambda s: (s["start"] < end) & (x["start"] < s["end"]))
+        base = F.exists(F.col("_fw_base"), lambda s: (s["start"] < end) & (x["start"] < s["end"]))
         mixed = hit.rlike("[0-9]") & hit.rlike("[A-Za-z]")
         return F.when(
             mixed & ~allowed & ~base, window_entropy(hit, rules.window, c.alphabet) >= c.bits
@@ -147,26 +147,26 @@ def scan(docs: DataFrame, text: str = "text", rules: SecretRules = SecretRules()
     body = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast("array<struct<start:int,hit:string>>")
     runs = {c.kind: c.run + "{%d,}" % rules.window for c in rules.classes}
-    df = docs.withColumn("_body", body)
+    df = docs.withColumn("_fw_body", body)
     # One cheap test for each kind; a text that fails it skips that kind's expressions.
     patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, **runs}
     for kind, pattern in patterns.items():
         df = df.withColumn(
-            f"_{kind}", F.when(F.col("_body").rlike(pattern), _located(F.col("_body"), pattern)).otherwise(none)
+            f"_fw_{kind}", F.when(F.col("_fw_body").rlike(pattern), _located(F.col("_fw_body"), pattern)).otherwise(none)
         )
     assign = F.filter(
-        F.col("_assign"), lambda x: F.length(F.regexp_extract(x["hit"], ASSIGN, 2)) >= ASSIGN_LEAST
+        F.col("_fw_assign"), lambda x: F.length(F.regexp_extract(x["hit"], ASSIGN, 2)) >= ASSIGN_LEAST
     )
     df = df.withColumn(
-        "_base",
+        "_fw_base",
         F.array_sort(
-            F.concat(_spans(assign, 0), _spans(F.col("_access"), 1), _spans(F.col("_hex"), 2))
+            F.concat(_spans(assign, 0), _spans(F.col("_fw_access"), 1), _spans(F.col("_fw_hex"), 2))
         ),
     )
     extra = [
-        _spans(F.filter(F.col(f"_{c.kind}"), _suspicious(c, rules)), 3 + i) for i, c in enumerate(rules.classes)
+        _spans(F.filter(F.col(f"_fw_{c.kind}"), _suspicious(c, rules)), 3 + i) for i, c in enumerate(rules.classes)
     ]
-    df = df.withColumn("_extra", F.concat(*extra))
+    df = df.withColumn("_fw_extra", F.concat(*extra))
     names = F.array(*[F.lit(k) for k in KINDS])
     named = lambda spans: F.transform(
         spans,
@@ -174,8 +174,8 @@ def scan(docs: DataFrame, text: str = "text", rules: SecretRules = SecretRules()
             F.element_at(names, s["rank"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end")
         ),
     )
-    df = df.withColumn("secret_spans", named(F.array_sort(F.concat(F.col("_base"), F.col("_extra")))))
-    return df.drop("_body", "_base", "_extra", *[f"_{k}" for k in patterns])
+    df = df.withColumn("secret_spans", named(F.array_sort(F.concat(F.col("_fw_base"), F.col("_fw_extra")))))
+    return df.drop("_fw_body", "_fw_base", "_fw_extra", *[f"_fw_{k}" for k in patterns])
 
 
 def redact(docs: DataFrame, text: str = "text", mask: str = "[secret]", rules: SecretRules = SecretRules()) -> DataFrame:
@@ -219,3 +219,51 @@ def op3_secret_scan(spark, sf_dir: str) -> DataFrame:
         F.sha2(text(base), 256).alias("base_sha256"),
         text(F.col("secret_spans")).alias("spans"),
     )
+
+
+def secrets_sql(docs: str, rules: SecretRules = SecretRules()) -> str:
+    """The contract's query in SQL. Its regular expressions know no look-behind and no
+    back-reference; runs are maximal either way, and repeats are spelled out by character."""
+    import re
+
+    w = rules.window
+    letters = sorted(set("".join(c.alphabet for c in rules.classes)))
+    allow = []
+    for pattern in rules.allow:
+        m = re.fullmatch(r"\(\.\)\\1\{(\d+),\}", pattern)
+        allow.append("|".join(re.escape(c) + "{%d,}" % (int(m[1]) + 1) for c in letters) if m else pattern)
+    patterns = [ASSIGN, ACCESS, HEX.replace("(?<![0-9a-f])", ""), *(c.run + "{%d,}" % w for c in rules.classes)]
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    found = "\n UNION ALL ".join(
+        f"SELECT doc_id, {k} AS rank, string_split_regex(t, {quote(p)}) AS gaps, regexp_extract_all(t, {quote(p)}) AS hits FROM d"
+        for k, p in enumerate(patterns)
+    )
+    bits = " ".join(f"WHEN {3 + i} THEN {c.bits}" for i, c in enumerate(rules.classes))
+    kinds = ", ".join(quote(k) for k in KINDS)
+    blocked = " OR ".join(f"regexp_matches(hit, {quote(p)})" for p in allow)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM {docs}),
+f AS ({found}),
+u AS (SELECT doc_id, rank, unnest(range(1, len(hits) + 1)) AS i, gaps, hits FROM f WHERE len(hits) > 0),
+h AS (
+  SELECT doc_id, rank, hits[i] AS hit,
+    sum(len(gaps[i])) OVER o + sum(len(hits[i])) OVER o - len(hits[i]) AS start FROM u WINDOW o AS (PARTITION BY doc_id, rank ORDER BY i)),
+s AS (SELECT doc_id, rank, hit, CAST(start AS BIGINT) AS a, CAST(start + len(hit) AS BIGINT) AS b FROM h),
+base AS (SELECT * FROM s WHERE rank IN (1, 2) OR rank = 0 AND len(regexp_extract(hit, {quote(ASSIGN)}, 2)) >= {ASSIGN_LEAST}),
+cand AS (
+  SELECT * FROM s WHERE rank > 2 AND regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]') AND NOT ({blocked})
+  AND NOT EXISTS (SELECT 1 FROM base x WHERE x.doc_id = s.doc_id AND x.a < s.b AND s.a < x.b)),
+win AS (SELECT doc_id, rank, a, hit, unnest(range(1, len(hit) - {w} + 2)) AS i FROM cand),
+chars AS (SELECT doc_id, rank, a, i, substr(hit, i + unnest(range({w})), 1) AS c FROM win),
+tally AS (SELECT doc_id, rank, a, i, c, count(*) AS n FROM chars GROUP BY ALL),
+ent AS (SELECT doc_id, rank, a, i, log2({w}) - sum(n * log2(n)) / {w} AS e FROM tally GROUP BY ALL),
+extra AS (
+  SELECT c.* FROM cand c JOIN (SELECT doc_id, rank, a, max(e) AS e FROM ent GROUP BY ALL) m USING (doc_id, rank, a)
+  WHERE e >= CASE rank {bits} END),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM extra),
+named AS (SELECT *, ([{kinds}])[rank + 1] || ':' || a || ':' || b AS text FROM every)
+SELECT d.doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+  sha256(coalesce(string_agg(text, ',' ORDER BY a, rank) FILTER (rank < 3), '')) AS base_sha256,
+  coalesce(string_agg(text, ',' ORDER BY a, rank), '') AS spans
+FROM d LEFT JOIN named USING (doc_id) GROUP BY d.doc_id
+"""
