@@ -337,11 +337,12 @@ def _large_buckets(spans: DataFrame, length: int, ident: str) -> DataFrame:
     in_full = stretches.join(distinct.filter("n > 1").select(*keys), keys, "left_semi").select(
         "doc_id", (F.col("segment") + F.col("inner")).alias("first"), "size"
     )
-    open_places = (
+    open_places = materialize(
         distinct.groupBy("anchor", "stretch")
         .agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"))
         .filter("kinds > 1 and least = 1")
-        .select("anchor", "stretch")
+        .select("anchor", "stretch"),
+        "open-stretches",
     )
     wanted = (
         distinct.join(open_places, ["anchor", "stretch"])
@@ -354,7 +355,7 @@ def _large_buckets(spans: DataFrame, length: int, ident: str) -> DataFrame:
         .mapInPandas(lambda it: _windows(it, length), f"head long, body long, doc_id {ident}, first long"),
         "windows",
     )
-    twice = windows.groupBy("head", "body").count().filter("count > 1").select("head", "body")
+    twice = materialize(windows.groupBy("head", "body").count().filter("count > 1").select("head", "body"), "twice")
     single = windows.join(twice, ["head", "body"], "left_semi").select("doc_id", "first", F.lit(1).cast("long").alias("size"))
     return in_full.unionByName(single)
 
@@ -372,7 +373,8 @@ def repeat_runs(docs: DataFrame, length: int = LENGTH, most: int = MOST) -> Data
         "segments",
     )
     # Buckets of two segments or more; hot ones cost a row for each task before the shuffle.
-    shared = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    # Counts are stored first: a join between plain exchanges is one whose hot keys are split.
+    shared = materialize(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "shared-anchors")
     found = materialize(found.join(shared, "anchor", "left_semi"), "shared-segments")
     # One row for each different segment: how often it occurs and one place of it.
     distinct = materialize(
@@ -385,11 +387,12 @@ def repeat_runs(docs: DataFrame, length: int = LENGTH, most: int = MOST) -> Data
         "doc_id", "first", F.col("size").cast("long").alias("size")
     )
     # Buckets that hold a segment that occurs once beside others are to be sorted.
-    open_buckets = (
+    open_buckets = materialize(
         distinct.groupBy("anchor")
         .agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"))
         .filter("kinds > 1 and least = 1")
-        .select("anchor", (F.col("kinds") > most).alias("big"))
+        .select("anchor", (F.col("kinds") > most).alias("big")),
+        "open-buckets",
     )
     wanted = (
         distinct.join(open_buckets, "anchor")
@@ -414,7 +417,7 @@ def repeat_runs(docs: DataFrame, length: int = LENGTH, most: int = MOST) -> Data
 def _apply(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         n_bytes, n_removed, n_spans, digest, texts = [], [], [], [], []
-        for text, found in zip(pdf["text"], pdf["_runs"]):
+        for text, found in zip(pdf["text"], pdf["_fw_runs"]):
             raw = (text or "").encode("utf-8", "surrogatepass")
             kept, end, removed, spans = [], 0, 0, 0
             last = None
@@ -437,7 +440,7 @@ def _apply(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFram
             digest.append(hashlib.sha256(left).hexdigest())
             # A cut may fall inside a character; its remains can't be part of a text.
             texts.append(text if not removed else left.decode("utf-8", "ignore"))
-        out = pdf.drop(columns="_runs")
+        out = pdf.drop(columns="_fw_runs")
         out["text"] = texts
         out["n_bytes"], out["n_removed"], out["n_spans"], out["kept_sha256"] = n_bytes, n_removed, n_spans, digest
         yield out
@@ -447,8 +450,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, most: int = MOST) -> D
     """``docs`` with repeated strings removed from text, and n_bytes, n_removed, n_spans (maximal
     removed runs), kept_sha256 (of the remaining bytes)."""
     found = materialize(repeat_runs(docs, length, most), "repeat-runs")
-    per_doc = found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("first", "size")).alias("_runs"))
-    joined = docs.join(per_doc, docs["doc_id"] == per_doc["_id"], "left").drop("_id")
+    per_doc = found.groupBy(F.col("doc_id").alias("_fw_id")).agg(F.collect_list(F.struct("first", "size")).alias("_fw_runs"))
+    joined = docs.join(per_doc, docs["doc_id"] == per_doc["_fw_id"], "left").drop("_fw_id")
     long0 = F.lit(0).cast("long")
     schema = docs.withColumns({"n_bytes": long0, "n_removed": long0, "n_spans": long0, "kept_sha256": F.lit("")}).schema
     return joined.mapInPandas(lambda it: _apply(it, length), schema)
