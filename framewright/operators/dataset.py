@@ -35,6 +35,8 @@ def farthest_points(df: DataFrame, key: str, features: list[str], k: int) -> Dat
     farthest from those chosen; ties go to the smaller key. Features are standardised with the
     population deviation. ``df`` is a table of profiles, so k rounds of one aggregation each."""
     stats = df.agg(*[F.avg(c).alias(f"m_{c}") for c in features], *[F.stddev_pop(c).alias(f"s_{c}") for c in features]).first()
+    if stats[0] is None:
+        return df.limit(0).withColumn("pick", F.lit(1))
     z = df.select(key, *[((F.col(c) - stats[f"m_{c}"]) / (stats[f"s_{c}"] + 1e-9)).alias(c) for c in features])
     gap = lambda at: F.sqrt(sum(((F.col(c) - float(at[c])) * (F.col(c) - float(at[c])) for c in features), F.lit(0.0)))
     far = z.withColumn("_d", gap(dict.fromkeys(features, 0.0)))

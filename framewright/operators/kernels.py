@@ -230,3 +230,57 @@ def inscribed_rectangle(corners: np.ndarray, aspect: float, rounds: int = 60) ->
         else:
             low, best = mid, (float(centre[0]), float(centre[1]), mid)
     return best
+
+
+# ------------------------------------------------------------------ contrast and compositing
+
+def box(x: np.ndarray, r: int, axis: int) -> np.ndarray:
+    """Running mean over 2r + 1 values, edges repeated."""
+    pad = [(0, 0)] * x.ndim
+    pad[axis] = (r + 1, r)
+    s = np.cumsum(np.pad(x.astype(float), pad, mode="edge"), axis)
+    n = x.shape[axis]
+    take = lambda a: np.take(s, np.arange(a, a + n), axis)
+    return (take(2 * r + 1) - take(0)) / (2 * r + 1)
+
+
+def soften(x: np.ndarray, sigma: float) -> np.ndarray:
+    """Close to a Gaussian blur: three running means in each direction."""
+    r = max(1, round((math.sqrt(4 * sigma * sigma + 1) - 1) / 2))
+    for _ in range(3):
+        x = box(box(x, r, 0), r, 1)
+    return x
+
+
+def replace_region(image: np.ndarray, fill: np.ndarray, probability: np.ndarray, cutoff: int = 127) -> np.ndarray:
+    """8-bit image with ``fill`` where probability exceeds the cutoff, over a soft edge whose width
+    follows the size."""
+    if image.dtype != np.uint8 or fill.shape != image.shape or probability.shape != image.shape[:2]:
+        raise ValueError("expected two 8-bit images of one size and a mask of it")
+    alpha = (probability > cutoff).astype(float)
+    if 0 < alpha.mean() < 1:
+        alpha = soften(alpha, max(1.0, min(alpha.shape) / 500))
+    a = alpha[..., None]
+    return np.rint(image * (1 - a) + fill * a).astype(np.uint8)
+
+
+def equalize(x: np.ndarray, clip: float = 1.5, grid: int = 8) -> np.ndarray:
+    """Contrast-limited equalisation of 8-bit values: one curve for each cell of a grid from its
+    histogram, counts over ``clip`` times the mean spread evenly, curves mixed between the centres."""
+    h, w = x.shape
+    rows, cols = np.minimum(np.arange(h) * grid // h, grid - 1), np.minimum(np.arange(w) * grid // w, grid - 1)
+    cell = rows[:, None] * grid + cols[None, :]
+    hist = np.zeros((grid * grid, 256))
+    np.add.at(hist, (cell, x), 1)
+    n = np.maximum(hist.sum(1, keepdims=True), 1)
+    most = clip * n / 256
+    over = np.maximum(hist - most, 0).sum(1, keepdims=True)
+    curve = np.cumsum(np.minimum(hist, most) + over / 256, 1) / n * 255
+    at = lambda size: np.clip((np.arange(size) + 0.5) * grid / size - 0.5, 0, grid - 1)
+    y, z = at(h), at(w)
+    y0, z0 = np.floor(y).astype(int), np.floor(z).astype(int)
+    y1, z1 = np.minimum(y0 + 1, grid - 1), np.minimum(z0 + 1, grid - 1)
+    fy, fz = (y - y0)[:, None], (z - z0)[None, :]
+    pick = lambda a, b: curve[a[:, None] * grid + b[None, :], x]
+    mixed = (1 - fy) * ((1 - fz) * pick(y0, z0) + fz * pick(y0, z1)) + fy * ((1 - fz) * pick(y1, z0) + fz * pick(y1, z1))
+    return np.rint(mixed).astype(np.uint8)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions import color, geometry, numeric, text
-from framewright.operators import dataset, kernels, metrics, scoring, verify
+from framewright.operators import dataset, images, kernels, metrics, records, scoring, verify
 from framewright.plans.base import query, table
 
 # ------------------------------------------------------------------ metrics
@@ -467,3 +467,72 @@ def settings_diff(spark, sf):
         "status": F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderstatus")).when(F.col("o_orderkey") % 10 == 0, F.lit("y")),
     }
     return o.select("o_orderkey", verify.changed_settings(a, b).alias("changed"))
+
+
+# ------------------------------------------------------------------ images
+
+@query()
+def surface_residual(spark, sf):
+    """Deviation from a fitted quadratic surface by supplier."""
+    l = table(spark, sf, "lineitem").select("l_suppkey", (F.col("l_discount") * 10).alias("x"), (F.col("l_tax") * 10).alias("y"), (F.col("l_quantity") / 50).alias("v"))
+    return _rounded(images.surface_residual(l, ["l_suppkey"], "x", "y", "v"), "residual")
+
+
+@query("""
+WITH p AS (SELECT l_suppkey, CAST(l_partkey % 180 AS INTEGER) AS h, CAST(l_orderkey % 256 AS INTEGER) AS s, CAST(l_quantity * 5 AS INTEGER) AS v FROM lineitem)
+SELECT l_suppkey, round(avg((s >= 40 AND v >= 40 AND h BETWEEN 95 AND 130)::INT), 6) AS blue, round(avg((s >= 40 AND v >= 40 AND h BETWEEN 35 AND 85)::INT), 6) AS green,
+  round(avg((s >= 40 AND v >= 40 AND h BETWEEN 5 AND 25)::INT), 6) AS warm, round(avg((s < 30 AND v >= 60)::INT), 6) AS neutral,
+  round(avg((s < 30 AND v >= 200)::INT), 6) AS white, round(avg((v >= 250)::INT), 6) AS clipped, round(avg((v <= 10)::INT), 6) AS dark FROM p GROUP BY l_suppkey""")
+def colour_shares(spark, sf):
+    """Shares of colour classes over pixel rows."""
+    p = table(spark, sf, "lineitem").select(
+        "l_suppkey", (F.col("l_partkey") % 180).cast("int").alias("h"), (F.col("l_orderkey") % 256).cast("int").alias("s"), (F.col("l_quantity") * 5).cast("int").alias("v")
+    )
+    return p.groupBy("l_suppkey").agg(*[F.round(c, 6).alias(n) for n, c in images.colour_shares(F.col("h"), F.col("s"), F.col("v")).items()])
+
+
+@query()
+def tiled_fusion(spark, sf):
+    """Exposures of small frames fused by overlapping tiles."""
+    e = table(spark, sf, "embeddings").filter("vec_id % 4 < 3 AND vec_id < 400")
+    frames = e.select(
+        F.floor(F.col("vec_id") / 4).alias("image"), (F.col("vec_id") % 4).cast("int").alias("k"), F.lit(8).alias("h"), F.lit(8).alias("w"),
+        F.transform("embedding", lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(0.5) + x.cast("double")))).alias("pixels"),
+    )
+    return images.fused(frames, 6, 2)
+
+
+@query()
+def vanishing_points(spark, sf):
+    """The point where most segments of a group meet."""
+    l = table(spark, sf, "lineitem").filter("l_linenumber <= 3").select(
+        "l_suppkey", F.col("l_quantity").alias("x1"), (F.col("l_discount") * 100).alias("y1"), (F.col("l_quantity") * 0.9 + 2).alias("x2"), (F.col("l_discount") * 100 + 20).alias("y2")
+    )
+    return kernels.vanishing_points(l, "l_suppkey").select("l_suppkey", "lines", "inliers")
+
+
+@query("""
+SELECT l_suppkey, count(*) FILTER (l_discount < 0.05) AS judged, round(median(abs(l_quantity / 10.0::DOUBLE - 2.5) / 2.5 * 100) FILTER (l_discount < 0.05), 6) AS median_error
+FROM lineitem GROUP BY l_suppkey""")
+def aspect_error(spark, sf):
+    """Median percent error of an aspect ratio, items out of frame left out."""
+    out = records.aspect_error(table(spark, sf, "lineitem"), ["l_suppkey"], F.col("l_quantity"), F.lit(10.0), F.lit(2.5), F.col("l_discount") < 0.05)
+    return _rounded(out, "median_error")
+
+
+@query("""
+SELECT user_id, min('e' || event_id) || '-' || max('e' || event_id) || '.jpg' AS name, CAST(ceil(count(*) / 8.0) AS BIGINT) AS batches FROM events GROUP BY user_id""")
+def output_names(spark, sf):
+    """A name from each group's first and last file, and its number of batches."""
+    e = table(spark, sf, "events").groupBy("user_id").agg(
+        F.array(F.min(F.concat(F.lit("e"), "event_id")), F.max(F.concat(F.lit("e"), "event_id"))).alias("_ends"), F.count(F.lit(1)).alias("n")
+    )
+    return e.select("user_id", records.output_name(F.col("_ends"), "jpg").alias("name"), records.batches_needed(F.col("n"), 8).alias("batches"))
+
+
+@query(EVIDENCE_SQL.replace("{ext}", "0.55").replace("SELECT doc_id, exterior, interior, call, round(", "SELECT doc_id::VARCHAR AS source, call, round(") )
+def classification_log(spark, sf):
+    """Rows of the classification log: call and confidence (outside rooms)."""
+    rows = records.classification_rows(_features(spark, sf), "doc_id", "2024-01-01 00:00:00.000")
+    made = scoring.classify(_features(spark, sf)).select(F.col("doc_id").cast("string").alias("source"), F.col("confidence").alias("sure"))
+    return rows.join(made, "source").select("source", "call", F.round("sure", 6).alias("confidence"))
