@@ -13,7 +13,7 @@ segment has no repeats; segments that are equal as a whole (a hash of the span a
 the anchor) repeat in full. Only buckets with several different segments are sorted, and of equal
 segments one stands for all, so a group of copies, however large, adds one segment.
 
-Difference cover. Sorting takes one block of buckets at a time (a few MB). Windows are ordered by
+Difference cover. Sorting takes one block of buckets at a time (half a MB or one bucket). Windows are ordered by
 their first v bytes (v a fifth of the length), and ties, which are long in near copies, are not
 compared byte by byte: each has at a distance under v a position of the difference cover whose rank
 among all cover positions of the block, by the length - v bytes that follow, was computed before
@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from framewright.llm.common import materialize, small_batches
 from framewright.llm.textkit import Powers, chunks, join_utf8, mix64, prefix_hash
 
-LENGTH, MOST, BLOCK, STRETCH = 400, 64, 2 << 20, 16
+LENGTH, MOST, BLOCK, STRETCH = 400, 64, 1 << 19, 16
 
 
 def fingerprints(c: np.ndarray, starts: np.ndarray, n, pw: Powers) -> np.ndarray:
