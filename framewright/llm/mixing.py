@@ -12,9 +12,10 @@ the excess is shared again by weight until none is above.
 
 What meets on the driver is one row per pattern, and their number is checked. Beyond
 ``max_patterns`` each document counts for the first of its sources only, which leaves as many
-patterns as sources. The seeded order is that of an md5 of seed and doc_id. The place where a
-pattern's remainder ends is found by three rounds of sums over 256 hash ranges, each inside the
-range that the round before has found, so no task ever orders a whole source.
+patterns as sources; more than ``max_sources`` of those are refused. The seeded order is that of
+an md5 of seed and doc_id. The place where a pattern's remainder ends is found by three rounds of
+sums over 256 hash ranges, each inside the range that the round before has found, so no task ever
+orders a whole source.
 
 Null texts and empty texts have no words and nothing is taken of them. Repeated rows are
 documents of their own. An empty table gives an empty result. Extra columns are ignored. The
@@ -24,7 +25,7 @@ last document taken may be taken in part, so a source's words meet its quota to
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,17 +104,21 @@ class Flow:
 
 
 def route(patterns: dict, quotas: dict, repeats: int) -> dict:
-    """Words that each pattern gives. patterns: tuple of sources -> words; quotas: source -> words."""
+    """Words that each pattern gives. patterns: tuple of sources -> words; quotas: source -> words.
+    A source whose only pattern is its own is no part of the network: its flow is its quota."""
     flow, gives = Flow(), defaultdict(list)
-    for k, (members, words) in enumerate(sorted(patterns.items(), key=lambda x: repr(x[0]))):
+    times = Counter(s for m in patterns for s in m)
+    alone = {m: min(quotas[m[0]], repeats * n) for m, n in patterns.items() if len(m) == 1 and times[m[0]] == 1}
+    shared = {m: n for m, n in patterns.items() if m not in alone}
+    for k, (members, words) in enumerate(sorted(shared.items(), key=lambda x: repr(x[0]))):
         for copy in range(repeats):
             gives[members].append((flow.edge("start", ("p", k), words, copy), words))
         for s in members:
             flow.edge(("p", k), ("s", s), repeats * words, 0)
-    for s, q in quotas.items():
-        flow.edge(("s", s), "end", q, 0)
+    for s in sorted({s for m in shared for s in m}, key=repr):
+        flow.edge(("s", s), "end", quotas[s], 0)
     flow.run("start", "end")
-    return {m: sum(words - flow.edges[i][1] for i, words in each) for m, each in gives.items()}
+    return alone | {m: sum(words - flow.edges[i][1] for i, words in each) for m, each in gives.items()}
 
 
 def mix(
@@ -124,6 +129,7 @@ def mix(
     repeats: int = 2,
     seed: int = 0,
     max_patterns: int = 10_000,
+    max_sources: int = 100_000,
 ) -> DataFrame:
     """doc_id, size, source_size, target, taken. ``members`` names an array column with a
     document's sources; without it, the column source is its only one. source_size and target
@@ -143,6 +149,8 @@ def mix(
     if len(total.limit(max_patterns + 1).collect()) > max_patterns:
         sized = sized.withColumn("members", F.slice("members", 1, 1))
         total = sized.groupBy("members").agg(F.sum("size").alias("words"))
+        if len(total.select(F.lit(1)).limit(max_sources + 1).collect()) > max_sources:
+            raise ValueError(f"more than {max_sources} sources; group them first")
     found = {tuple(r["members"] or ()): int(r["words"] or 0) for r in total.collect()}
     sizes: dict = defaultdict(int)
     for m, words in found.items():
