@@ -220,6 +220,7 @@ def link(docs: DataFrame, size: int = SIZE) -> DataFrame:
     doc_id reachable by links)."""
     spark = docs.sparkSession
     small_batches(spark)
+    release(spark)  # what earlier steps have shuffled
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     base, summary = classes(docs, size)
     total = base.filter("n > 0").count()
@@ -251,7 +252,7 @@ def link(docs: DataFrame, size: int = SIZE) -> DataFrame:
     sizes = base.filter("n > 0").select(F.col("h").alias("node"), "n").distinct()
     enough = F.floor(F.floor(F.col("n") * NUM / DEN) / SPARE) + 1
     likely = hits.groupBy("node").count().join(sizes, "node").filter(F.col("count") >= enough)
-    likely = likely.select("node", "n", (F.col("count") / F.col("n")).alias("w"))
+    likely = materialize(likely.select("node", "n", (F.col("count") / F.col("n")).alias("w")), "likely-classes")
     wide, hits = hits, materialize(hits.join(likely.hint("shuffle_hash"), "node").distinct(), "likely-words")
     release(spark, wide)
     first = base.filter("n > 0").groupBy("h").agg(F.min("id").alias("doc_id"))
@@ -357,8 +358,8 @@ n AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS wh
 cls AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY whole) AS class_id FROM n),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
 e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 75 * (a.n + b.n - i)),
-both AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
-r AS (SELECT doc_id, doc_id AS c FROM {docs} UNION SELECT both.y, r.c FROM r JOIN both ON both.x = r.doc_id),
+either_way AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT doc_id, doc_id AS c FROM {docs} UNION SELECT either_way.y, r.c FROM r JOIN either_way ON either_way.x = r.doc_id),
 c AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(class_id, doc_id) AS class_id, component_id
 FROM c LEFT JOIN cls USING (doc_id)
