@@ -253,8 +253,11 @@ def link(docs: DataFrame, size: int = SIZE) -> DataFrame:
     enough = F.floor(F.floor(F.col("n") * NUM / DEN) / SPARE) + 1
     likely = hits.groupBy("node").count().join(sizes, "node").filter(F.col("count") >= enough)
     likely = materialize(likely.select("node", "n", (F.col("count") / F.col("n")).alias("w")), "likely-classes")
-    wide, hits = hits, materialize(hits.join(likely.hint("shuffle_hash"), "node").distinct(), "likely-words")
-    release(spark, wide)
+    # Stored before copies are dropped: nothing above the join then keeps a hot class in one task.
+    joined = materialize(hits.join(likely.hint("shuffle_hash"), "node"), "likely-rows")
+    release(spark, hits)
+    hits = materialize(joined.distinct(), "likely-words")
+    release(spark, joined)
     first = base.filter("n > 0").groupBy("h").agg(F.min("id").alias("doc_id"))
     wanted = first.join(hits.select(F.col("node").alias("h")).distinct(), "h", "left_semi")
     sets = materialize(
