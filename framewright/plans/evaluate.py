@@ -493,8 +493,8 @@ def colour_shares(spark, sf):
 
 @query()
 def tiled_fusion(spark, sf):
-    """Exposures of small frames fused by overlapping tiles."""
-    e = table(spark, sf, "embeddings").filter("vec_id % 4 < 3 AND vec_id < 400")
+    """Exposures of small frames, four vectors an image, fused by overlapping tiles."""
+    e = table(spark, sf, "embeddings")
     frames = e.select(
         F.floor(F.col("vec_id") / 4).alias("image"), (F.col("vec_id") % 4).cast("int").alias("k"), F.lit(8).alias("h"), F.lit(8).alias("w"),
         F.transform("embedding", lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(0.5) + x.cast("double")))).alias("pixels"),
