@@ -26,3 +26,12 @@ def test_tiled_fusion_fuses_every_vector(spark):
     for image, vectors in want:
         stack = np.clip(0.5 + np.stack(vectors.to_list()).astype(float), 0, 1).reshape(-1, 8, 8)
         assert np.allclose(np.stack([got[image, y] for y in range(8)]), kernels.fuse_tiled(stack, 6, 2))
+
+
+def test_vanishing_points_take_every_segment(spark):
+    l = read("lineitem").astype({"l_quantity": float, "l_discount": float})
+    got = {r["l_suppkey"]: (r["lines"], r["inliers"]) for r in QUERIES["vanishing_points"](spark, DATA).collect()}
+    assert sum(n for n, _ in got.values()) == len(l)
+    for key, g in l.groupby("l_suppkey"):
+        rows = sorted(zip(g.l_quantity, g.l_discount * 100, g.l_quantity * 0.9 + 2, g.l_discount * 100 + 20))
+        assert got[key] == (len(g), kernels.vanishing_point(np.array(rows))[1].sum())
