@@ -225,10 +225,12 @@ def sample_per_group(spark, sf):
 
 @query()
 def farthest_point(spark, sf):
-    """Four label centroids that cover the embedding space."""
-    e = table(spark, sf, "embeddings").select("label", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(8)])
-    centre = e.groupBy("label").agg(*[F.avg(f"x{i}").alias(f"x{i}") for i in range(8)])
-    return dataset.farthest_points(centre, "label", [f"x{i}" for i in range(8)], 4).select("label", "pick")
+    """Four label centroids that cover the embedding space, by every component of the vectors."""
+    e = table(spark, sf, "embeddings")
+    names = [f"x{i}" for i in range(e.agg(F.max(F.size("embedding"))).first()[0] or 1)]
+    e = e.select("label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(names)])
+    centre = e.groupBy("label").agg(*[F.avg(c).alias(c) for c in names])
+    return dataset.farthest_points(centre, "label", names, 4).select("label", "pick")
 
 
 @query("""

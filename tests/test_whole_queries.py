@@ -35,3 +35,17 @@ def test_vanishing_points_take_every_segment(spark):
     for key, g in l.groupby("l_suppkey"):
         rows = sorted(zip(g.l_quantity, g.l_discount * 100, g.l_quantity * 0.9 + 2, g.l_discount * 100 + 20))
         assert got[key] == (len(g), kernels.vanishing_point(np.array(rows))[1].sum())
+
+
+def test_farthest_point_uses_every_component(spark):
+    e = read("embeddings")
+    x = np.stack(e["embedding"].to_list()).astype(float)
+    centre = pd.DataFrame(x).groupby(e["label"].to_numpy()).mean()
+    z = ((centre - centre.mean()) / (centre.std(ddof=0) + 1e-9)).to_numpy()
+    chosen = [int(np.linalg.norm(z, axis=1).argmin())]
+    while len(chosen) < 4:
+        gap = np.linalg.norm(z[:, None] - z[None, chosen], axis=2).min(1)
+        gap[chosen] = -1
+        chosen.append(int(gap.argmax()))
+    got = {r["pick"]: r["label"] for r in QUERIES["farthest_point"](spark, DATA).collect()}
+    assert x.shape[1] == 64 and got == {i + 1: centre.index[c] for i, c in enumerate(chosen)}
