@@ -10,9 +10,10 @@ Quotas: sources in code-point order, null last, get repeating weights; they shar
 ``share`` times all words by weight. A quota stops at ``repeats`` times its source's words and
 the excess is shared again by weight until none is above.
 
-What meets on the driver is one row per pattern, and their number is checked. Beyond
-``max_patterns`` each document counts for the first of its sources only, which leaves as many
-patterns as sources; more than ``max_sources`` of those are refused. The seeded order is that of
+What meets on the driver is one row per pattern, whatever their number: its memory is the limit.
+Every document counts for all of its sources. More than ``max_patterns`` patterns that share
+sources are routed on arrays with the same optimum (``route_arrays``); tables of more than
+``max_sources`` patterns are not broadcast. The seeded order is that of
 an md5 of seed and doc_id. The place where a pattern's remainder ends is found by three rounds of
 sums over 256 hash ranges, each inside the range that the round before has found, so no task ever
 orders a whole source.
@@ -27,6 +28,7 @@ from __future__ import annotations
 import heapq
 from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,13 +105,74 @@ class Flow:
                 node = self.edges[i ^ 1][0]
 
 
-def route(patterns: dict, quotas: dict, repeats: int) -> dict:
+def route_arrays(patterns: dict, quotas: dict, repeats: int) -> dict:
+    """The optimum of ``Flow`` for many patterns. An augmenting path costs what its first edge costs,
+    so the min-cost flow is a maximum flow for each repetition in turn. A path goes from patterns
+    with spare words through sources, each handing on words of patterns that the next one shares,
+    to a source with room; shortest paths first, all patterns of a step at once."""
+    sets = sorted(patterns, key=repr)
+    names = sorted({s for m in sets for s in m}, key=repr)
+    number = {s: i for i, s in enumerate(names)}
+    words = np.array([patterns[m] for m in sets], np.int64)
+    room = np.array([quotas[s] for s in names], np.int64)
+    p = np.repeat(np.arange(len(sets)), [len(m) for m in sets])
+    s = np.array([number[x] for m in sets for x in m], np.int64)
+    by = np.argsort(s, kind="stable")
+    p, s = p[by], s[by]
+    at = np.searchsorted(s, np.arange(len(names) + 1))
+    flow, spare = np.zeros(len(p), np.int64), np.zeros(len(sets), np.int64)
+    taken = lambda x, most: np.clip(most - (np.cumsum(x) - x), 0, x)
+
+    def path() -> list[int]:
+        """Sources from one that patterns with spare words have to one with room, or none."""
+        far, step = np.where(room > 0, 0, -1), 0
+        while True:
+            here = np.flatnonzero(far[s] == step)
+            if not len(here):
+                return []
+            ready = here[spare[p[here]] > 0]
+            if len(ready):
+                break
+            near = np.zeros(len(sets), bool)
+            near[p[here]] = True
+            far[s[near[p] & (flow > 0) & (far[s] < 0)]] = step + 1
+            step += 1
+        out = [int(np.bincount(s[ready], weights=spare[p[ready]]).argmax())]
+        for k in range(step - 1, -1, -1):
+            held, mine = np.zeros(len(sets)), slice(at[out[-1]], at[out[-1] + 1])
+            held[p[mine]] = flow[mine]
+            out.append(int(np.bincount(s, weights=held[p] * (far[s] == k)).argmax()))
+        return out
+
+    for _ in range(repeats):
+        spare += words
+        while way := path():
+            first = slice(at[way[0]], at[way[0] + 1])
+            moves = []
+            for a, b in zip(way, way[1:]):
+                _, i, j = np.intersect1d(p[at[a] : at[a + 1]], p[at[b] : at[b + 1]], assume_unique=True, return_indices=True)
+                moves.append((at[a] + i, at[b] + j, flow[at[a] + i]))
+            most = min(room[way[-1]], spare[p[first]].sum(), *(x.sum() for *_, x in moves))
+            for i, j, x in moves:
+                x = taken(x, most)
+                flow[i] -= x
+                flow[j] += x
+            x = taken(spare[p[first]], most)
+            flow[first] += x
+            spare[p[first]] -= x
+            room[way[-1]] -= most
+    return dict(zip(sets, (words * repeats - spare).tolist()))
+
+
+def route(patterns: dict, quotas: dict, repeats: int, max_patterns: int = 10_000) -> dict:
     """Words that each pattern gives. patterns: tuple of sources -> words; quotas: source -> words.
     A source whose only pattern is its own is no part of the network: its flow is its quota."""
     flow, gives = Flow(), defaultdict(list)
     times = Counter(s for m in patterns for s in m)
     alone = {m: min(quotas[m[0]], repeats * n) for m, n in patterns.items() if len(m) == 1 and times[m[0]] == 1}
     shared = {m: n for m, n in patterns.items() if m not in alone}
+    if len(shared) > max_patterns:
+        return alone | route_arrays(shared, quotas, repeats)
     for k, (members, words) in enumerate(sorted(shared.items(), key=lambda x: repr(x[0]))):
         for copy in range(repeats):
             gives[members].append((flow.edge("start", ("p", k), words, copy), words))
@@ -146,11 +209,6 @@ def mix(
         "mixing",
     )
     total = sized.groupBy("members").agg(F.sum("size").alias("words"))
-    if len(total.limit(max_patterns + 1).collect()) > max_patterns:
-        sized = sized.withColumn("members", F.slice("members", 1, 1))
-        total = sized.groupBy("members").agg(F.sum("size").alias("words"))
-        if len(total.select(F.lit(1)).limit(max_sources + 1).collect()) > max_sources:
-            raise ValueError(f"more than {max_sources} sources; group them first")
     found = {tuple(r["members"] or ()): int(r["words"] or 0) for r in total.collect()}
     sizes: dict = defaultdict(int)
     for m, words in found.items():
@@ -159,7 +217,8 @@ def mix(
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode("utf-8", "surrogatepass")))
     targets = fill(dict(sizes), {s: weights[i % len(weights)] for i, s in enumerate(order)}, share, repeats) if sizes else {}
     quotas = {s: min(int(t + 0.5), repeats * sizes[s]) for s, t in targets.items()}
-    given = route(found, quotas, repeats)
+    given = route(found, quotas, repeats, max_patterns)
+    small = F.broadcast if len(found) <= max_sources else (lambda df: df)
     plan = [
         (list(m), sizes[m[0]] if m else 0, targets[m[0]] if m else 0.0, given[m] // words if words else 0, given[m] % words if words else 0)
         for m, words in found.items()
@@ -171,7 +230,7 @@ def mix(
         [(m, rest, 0, "") for m, _, _, _, rest in plan], "members array<string>, rest long, before long, prefix string"
     )
     for level in range(ROUNDS):
-        inside = sized.alias("a").join(F.broadcast(cuts.alias("b")), F.col("a.members").eqNullSafe(F.col("b.members"))).filter(
+        inside = sized.alias("a").join(small(cuts.alias("b")), F.col("a.members").eqNullSafe(F.col("b.members"))).filter(
             F.col("h").startswith(F.col("prefix"))
         )
         sums = inside.groupBy(
@@ -185,15 +244,15 @@ def mix(
             .groupBy("members")
             .agg(F.min(F.struct("d", "rest", "prefix", (F.col("run") - F.col("s")).alias("before"))).alias("x"))
         )
-        # One row for each pattern, whose number was checked above.
+        # One row for each pattern, as above.
         rows = ends.select(
             "members", "x.rest", "x.before", F.concat("x.prefix", "x.d").alias("prefix")
         ).collect()
         cuts = spark.createDataFrame(rows, cuts.schema)
     joined = (
         sized.alias("a")
-        .join(F.broadcast(plan_df.alias("p")), F.col("a.members").eqNullSafe(F.col("p.members")))
-        .join(F.broadcast(cuts.alias("c")), F.col("a.members").eqNullSafe(F.col("c.members")), "left")
+        .join(small(plan_df.alias("p")), F.col("a.members").eqNullSafe(F.col("p.members")))
+        .join(small(cuts.alias("c")), F.col("a.members").eqNullSafe(F.col("c.members")), "left")
         .select(
             "doc_id", "h", "size", "source_size", "target", "whole", F.col("p.rest").alias("rest"), "before",
             F.col("a.members").alias("members"),
