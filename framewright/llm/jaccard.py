@@ -342,9 +342,18 @@ def _roots(hits: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document (the smallest doc_id) of each component."""
+    """``docs`` with one document (the smallest doc_id) of each component. Copies of a row, with one
+    doc_id and text, stay once; rows without doc_id take no part and all stay."""
     keep = link(docs).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi")
+    known = docs.filter("doc_id is not null")
+    out = known.join(keep, known["doc_id"] == keep["_keep"], "left_semi")
+    again = known.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again"))
+    again = materialize(again, "repeated-ids")
+    if not again.isEmpty():  # else no text is compared
+        same = out["doc_id"] == again["_again"]
+        copies = out.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
+        out = out.join(again, same, "left_anti").unionByName(copies)
+    return out.unionByName(docs.filter("doc_id is null"))
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:

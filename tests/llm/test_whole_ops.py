@@ -2,7 +2,7 @@
 
 import random
 
-from framewright.llm import mixing
+from framewright.llm import jaccard, mixing
 
 
 def test_many_patterns_are_routed_like_few():
@@ -33,3 +33,15 @@ def test_more_patterns_than_the_default(spark):
     assert len(rows) == len(sets) and {r["source_size"] for r in rows} == {3 << 13}
     # A quota is a tenth of 24,576 words, and unused words fill all fourteen.
     assert sum(r["taken"] for r in rows) == 14 * 2458 and max(r["taken"] for r in rows) == 3
+
+
+def test_jaccard_clean_keeps_rows_without_id_and_one_of_each_copy(spark):
+    text = "same text twice with enough words here"
+    rows = [(None, "no id"), (None, None), (5, text), (5, text), (6, text), (7, None), (7, None), (8, "other words"), (9, "a"), (9, "b")]
+    docs = spark.createDataFrame([(t, i) for i, t in rows], "text string, doc_id long")
+    out = jaccard.clean(docs)
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr)
+    want = [(None, "no id"), (None, None), (5, text), (7, None), (8, "other words"), (9, "a"), (9, "b")]
+    assert out.columns == docs.columns and got == sorted(want, key=repr)
+    once = docs.filter("doc_id is null or doc_id in (6, 8)")
+    assert jaccard.clean(once).count() == 4
