@@ -2,46 +2,68 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Spark's setting that removes an execution's shuffle files as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new
-    temporary folder where the setting is absent (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session in one
+    process (tests) gets a new temporary folder where the setting is absent; a cluster without it
+    is refused."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set; a cluster needs a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="framewright-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting for the time of a block."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back: lineage ends at
-    files that outlive any executor."""
+    files that outlive any executor. The shuffle files of the write go as it ends, so the disk in
+    use is that of stored tables and of the write under way."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with setting(spark, CLEANUP, "true"):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Give back disk: delete stored tables that nothing reads any more, and let Spark drop the
-    shuffle files of finished queries, which it keeps until the driver collects its garbage."""
+    """Delete stored tables that nothing reads any more."""
     jvm = spark.sparkContext._jvm
     for df in tables:
         for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

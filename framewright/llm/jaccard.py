@@ -43,10 +43,10 @@ from framewright.llm.graph import components
 from framewright.llm.textkit import Powers, mix64, shingles
 
 SIZE, NUM, DEN = 5, 75, 100
-SUMMARY, OFTEN, MOST_FREQUENT = 20_000, 500, 200_000
+SUMMARY, FOLD, OFTEN, MOST_FREQUENT = 50_000, 1 << 20, 5000, 200_000
 STEP, RATIO = 12, 16  # a band's start over the last one's, and its end over its start: RATIO/STEP is 1/t
 SPARE, SKETCH = 32, 1024
-PASSES, ROUNDS, FEW = 2, 3, 8
+PASSES, ROUNDS, FEW, REMEMBERED, SMALL = 2, 3, 8, 1 << 20, 8
 
 
 def most_apart(a: int, b: int) -> int:
@@ -73,7 +73,7 @@ class Frequent:
     def add(self, hashes: np.ndarray) -> None:
         self.parts.append(hashes)
         self.held += len(hashes)
-        if self.held > 1 << 18:
+        if self.held > FOLD:
             self.fold()
 
     def fold(self) -> None:
@@ -133,7 +133,9 @@ def words(s: np.ndarray, frequent: np.ndarray) -> list[tuple[int, np.ndarray]]:
 
 
 def _emit(batches: Iterator[pd.DataFrame], size: int, shared) -> Iterator[pd.DataFrame]:
-    pw, frequent = Powers(), shared.value
+    """Rows (key, node) of the words of each class, once a task: of a large group of copies
+    hardly more rows come than there are tasks."""
+    pw, frequent, done = Powers(), shared.value, set()
     for pdf in batches:
         keys, nodes, held = [], [], 0
 
@@ -144,6 +146,10 @@ def _emit(batches: Iterator[pd.DataFrame], size: int, shared) -> Iterator[pd.Dat
             if not len(s):
                 continue
             node = set_hash(s)
+            if node in done:
+                continue
+            if len(done) < REMEMBERED:
+                done.add(node)
             for _, k in words(s, frequent):
                 keys.append(k)
                 nodes.append(np.full(len(k), node, np.uint64))
@@ -169,18 +175,18 @@ def _sets(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
             rows = pdf.iloc[a : a + step]
             made = list(shingles(list(rows["text"]), size, pw))
             yield pd.DataFrame(
-                {"node": rows["node"], "s": [x.tobytes() for x in made], "b": [parity(x).view(np.int64) for x in made]}
+                {
+                    "node": rows["node"], "n": [len(x) for x in made],
+                    "s": [x.tobytes() for x in made], "b": [parity(x).view(np.int64) for x in made],
+                }
             )
 
 
-def linked(x: bytes, y: bytes, bx: np.ndarray, by: np.ndarray) -> bool:
+def linked(x: bytes, y: bytes) -> bool:
     a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
     small, large = (a, b) if len(a) <= len(b) else (b, a)
     if DEN * len(small) < NUM * len(large):
         return False
-    apart = np.bitwise_count((np.asarray(bx) ^ np.asarray(by)).view(np.uint64)).sum()
-    if apart > most_apart(len(a), len(b)):
-        return False
     at = np.searchsorted(large, small)
     at[at == len(large)] = 0
     both = int((large[at] == small).sum())
@@ -188,15 +194,39 @@ def linked(x: bytes, y: bytes, bx: np.ndarray, by: np.ndarray) -> bool:
 
 
 @F.pandas_udf(T.BooleanType())
-def _linked(sx: pd.Series, sy: pd.Series, bx: pd.Series, by: pd.Series) -> pd.Series:
-    return pd.Series([linked(*r) for r in zip(sx, sy, bx, by)], dtype=bool)
+def _linked(sx: pd.Series, sy: pd.Series) -> pd.Series:
+    return pd.Series([linked(*r) for r in zip(sx, sy)], dtype=bool)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those pairs (u, v, more columns) whose sets link."""
-    x = sets.select(F.col("node").alias("u"), F.col("s").alias("su"), F.col("b").alias("bu"))
-    y = sets.select(F.col("node").alias("v"), F.col("s").alias("sv"), F.col("b").alias("bv"))
-    return pairs.join(x, "u").join(y, "v").filter(_linked("su", "sv", "bu", "bv")).select(*pairs.columns)
+    """Those pairs (u, v, more columns) whose sets link. The parity sketches, a few bytes a pair,
+    rule most pairs out before any set moves: their Hamming distance is a lower bound of the
+    symmetric difference."""
+    bits = [f"b{i}" for i in range(SKETCH // 64)]
+    side = lambda end: sets.select(
+        F.col("node").alias(end), F.col("n").alias(f"n_{end}"), *[F.col("b")[i].alias(f"{b}_{end}") for i, b in enumerate(bits)]
+    )
+    near = pairs.join(side("u"), "u").join(side("v"), "v").filter(~apart_by(bits, "n")).select(*pairs.columns)
+    near = materialize(near, "near-pairs")
+    x = sets.select(F.col("node").alias("u"), F.col("s").alias("su"))
+    y = sets.select(F.col("node").alias("v"), F.col("s").alias("sv"))
+    return near.join(x, "u").join(y, "v").filter(_linked("su", "sv")).select(*pairs.columns)
+
+
+def apart_by(bits: list[str], size: str):
+    """Whether the Hamming distance of two sketches rules a link out; columns end in _u and _v."""
+    differ = sum((F.bit_count(F.col(f"{b}_u").bitwiseXOR(F.col(f"{b}_v"))) for b in bits), F.lit(0))
+    return differ * (DEN + NUM) > (DEN - NUM) * (F.col(f"{size}_u") + F.col(f"{size}_v"))
+
+
+def _met(state: DataFrame, bits: list[str]) -> DataFrame:
+    """u, v, count (common words), enough (those a link needs) of pairs in different components, of
+    rows (key, node, n, root, sketch columns ``bits``); pairs that the sketches rule out are left out."""
+    x, y = (state.select("key", *[F.col(c).alias(f"{c}_{end}") for c in ("node", "n", "root", *bits)]) for end in "uv")
+    on = (x["key"] == y["key"]) & (F.col("node_u") < F.col("node_v")) & (F.col("root_u") != F.col("root_v")) & fits("n_u", "n_v")
+    met = x.join(y, on & ~apart_by(bits, "n") if bits else on)
+    enough = F.floor(F.first(F.least("n_u", "n_v")) / SPARE) + 1
+    return met.groupBy(F.col("node_u").alias("u"), F.col("node_v").alias("v")).agg(F.count(F.lit(1)).alias("count"), enough.alias("enough"))
 
 
 def fits(a: str, b: str):
@@ -220,11 +250,11 @@ def link(docs: DataFrame, size: int = SIZE) -> DataFrame:
     doc_id reachable by links)."""
     spark = docs.sparkSession
     small_batches(spark)
-    release(spark)  # what earlier steps have shuffled
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     base, summary = classes(docs, size)
     total = base.filter("n > 0").count()
-    # At most OFTEN times the mean set size in number, as each is in 1/OFTEN of all documents.
+    # At most OFTEN times the mean set size in number, as each is in 1/OFTEN of all documents, and
+    # MOST_FREQUENT in any case.
     often = (
         summary.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(20, total // OFTEN))
         .orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).select("h").toPandas()["h"].to_numpy(np.int64)
@@ -238,9 +268,7 @@ def link(docs: DataFrame, size: int = SIZE) -> DataFrame:
         mine = keys.filter(F.pmod("key", F.lit(PASSES)) == p)
         # Stored first: a join between plain exchanges is one whose hot keys are split.
         again = materialize(mine.groupBy("key").count().filter("count > 1").select("key"), "word-counts")
-        release(spark)
         parts.append(materialize(mine.join(again.hint("shuffle_hash"), "key", "left_semi"), "repeated-words"))
-        release(spark)
     release(spark, keys)
     repeated = reduce(DataFrame.unionByName, parts)
     same = repeated.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
@@ -263,11 +291,10 @@ def link(docs: DataFrame, size: int = SIZE) -> DataFrame:
     sets = materialize(
         docs.join(wanted.withColumnRenamed("h", "node"), "doc_id")
         .select("node", "text")
-        .mapInPandas(lambda it: _sets(it, size), "node long, s binary, b array<long>")
+        .mapInPandas(lambda it: _sets(it, size), "node long, n long, s binary, b array<long>")
         .dropDuplicates(["node"]),
         "sets",
     )
-    release(spark)
     roots = _roots(hits, sets)
     named = (
         first.join(roots, first["h"] == roots["node"], "left")
@@ -291,12 +318,12 @@ def _roots(hits: DataFrame, sets: DataFrame) -> DataFrame:
     Each round takes one leader for every word group that still spans several components: first the
     class with most of its words shared, later a random one. Each class is verified against the
     leader it shares most words with. Rounds end when pairs of different components that share a word
-    are few against the rows of hits, or after ROUNDS. All those pairs are joined then, under the
-    condition that their parity sketches lie within the bound, and verified: no link between
+    are few against the rows of hits, or after ROUNDS. All those pairs are counted then; those that
+    share 1 + s words and whose parity sketches lie within the bound are verified: no link between
     components is left."""
-    rows = hits.count()
+    spark, rows = hits.sparkSession, hits.count()
     roots = materialize(hits.select("node", F.col("node").alias("root")).distinct(), "roots")
-    state = hits.withColumn("root", F.col("node"))
+    held, state = hits, hits.withColumn("root", F.col("node"))
 
     def merged(links: DataFrame) -> tuple[DataFrame, DataFrame]:
         found = components(links.select(F.col("ru").alias("u"), F.col("rv").alias("v")))
@@ -306,38 +333,40 @@ def _roots(hits: DataFrame, sets: DataFrame) -> DataFrame:
 
     for r in range(ROUNDS):
         rank = F.xxhash64("node", F.lit(r)) if r else -F.col("w")
-        groups = (
+        groups = materialize(
             state.groupBy("key")
             .agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min(F.struct(rank.alias("rank"), "node", "root", "n")).alias("lead"))
             .filter("a <> b")
-            .select("key", F.col("lead.node").alias("u"), F.col("lead.root").alias("ru"), F.col("lead.n").alias("nu"))
+            .select("key", F.col("lead.node").alias("u"), F.col("lead.root").alias("ru"), F.col("lead.n").alias("nu")),
+            "leaders",
         )
-        groups = materialize(groups, "leaders")
         state = materialize(state.select("key", "node", "n", "root", "w").join(groups, "key"), "open-words")
-        release(hits.sparkSession)
-        each = state.groupBy("key", "root").count().groupBy("key").agg(F.sum("count").alias("g"), F.sum(F.col("count") * F.col("count")).alias("q"))
-        pairs = each.agg(F.sum((F.col("g") * F.col("g") - F.col("q")) / 2)).first()[0] or 0
+        release(spark, held, groups)
+        held = state
+        sums = state.groupBy("key", "root").count().groupBy("key").agg(F.sum("count").alias("g"), F.sum(F.col("count") * F.col("count")).alias("q"))
+        sums = materialize(sums.agg(F.sum((F.col("g") * F.col("g") - F.col("q")) / 2).alias("pairs")), "pairs-left")
+        pairs = sums.first()[0] or 0
         if pairs <= FEW * rows and (r or not pairs):
             break
         votes = state.filter(F.col("root") != F.col("ru")).filter(fits("n", "nu")).groupBy("node", "root", "u", "ru").count()
         best = votes.groupBy(F.col("node").alias("v"), F.col("root").alias("rv")).agg(F.max_by(F.struct("u", "ru"), F.struct("count", "u")).alias("x"))
         links = materialize(verified(best.select("v", "rv", "x.u", "x.ru"), sets), "links")
         roots, state = merged(links)
-    bits = range(SKETCH // 64)
-    sketches = sets.select("node", *[F.col("b")[i].alias(f"b{i}") for i in bits])
-    wide = state.select("key", "node", "n", "root").join(sketches, "node")
-    x = wide.select("key", *[F.col(c).alias(f"{c}_u") for c in ("node", "n", "root", *[f"b{i}" for i in bits])])
-    y = wide.select("key", *[F.col(c).alias(f"{c}_v") for c in ("node", "n", "root", *[f"b{i}" for i in bits])])
-    differ = sum((F.bit_count(F.col(f"b{i}_u").bitwiseXOR(F.col(f"b{i}_v"))) for i in bits), F.lit(0))
-    near = differ * (DEN + NUM) <= (DEN - NUM) * (F.col("n_u") + F.col("n_v"))
-    apart = (
-        x.join(y, (x["key"] == y["key"]) & (F.col("node_u") < F.col("node_v")) & (F.col("root_u") != F.col("root_v")) & fits("n_u", "n_v") & near)
-        .groupBy("node_u", "node_v", "n_u", "n_v", "root_u", "root_v").count()
-        .filter(F.col("count") >= F.floor(F.least("n_u", "n_v") / SPARE) + 1)
-        .select(F.col("node_u").alias("u"), F.col("node_v").alias("v"), F.col("root_u").alias("ru"), F.col("root_v").alias("rv"))
+    # Pairs of a small group are a bounded number a row. In a large group the sketches stand beside
+    # the words, so that the join itself drops pairs apart and nothing grows with the group's square.
+    sized = materialize(state.groupBy("key").count().filter(F.col("count") > SMALL).select("key"), "large-groups")
+    rows_of = state.select("key", "node", "n", "root")
+    sketches = sets.select("node", *[F.col("b")[i].alias(f"b{i}") for i in range(SKETCH // 64)])
+    few = _met(rows_of.join(sized, "key", "left_anti"), [])
+    many = _met(rows_of.join(sized, "key", "left_semi").join(sketches, "node"), sketches.columns[1:])
+    apart = materialize(
+        few.unionByName(many).groupBy("u", "v").agg(F.sum("count").alias("count"), F.first("enough").alias("enough"))
+        .filter("count >= enough").select("u", "v"),
+        "pairs-apart",
     )
-    links = materialize(verified(apart, sets), "links")
-    release(hits.sparkSession)
+    named = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
+    links = materialize(verified(apart.join(named("u"), "u").join(named("v"), "v"), sets), "links")
+    release(spark, held)
     return merged(links)[0]
 
 
