@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,26 +32,40 @@ def size_change(w0: Column, h0: Column, w1: Column, h1: Column, slack: int = 2)
 
 
 def tile_starts(length: Column, tile: int, overlap: int) -> Column:
-    """Offsets of tiles along one axis; the last tile is flush with the end."""
-    step, last = tile - overlap, length - tile
-    return F.when(length <= tile, F.array(F.lit(0))).otherwise(
-        F.concat(F.sequence(F.lit(0), last - 1, F.lit(step)), F.array(last))
-    )
+    """Offsets of tiles along one axis: whole steps, the last one held back to end with the axis."""
+    last = F.greatest(length - tile, F.lit(0))
+    steps = F.sequence(F.lit(0), F.ceil(last / (tile - overlap)).cast("int"))
+    return F.transform(steps, lambda k: F.least(k * (tile - overlap), last))
 
 
 def feather(n: int, overlap: int, lead: Column, trail: Column) -> Column:
-    """Raised-cosine weights of a tile's n positions; lead and trail tell which ends overlap."""
+    """Weights of a tile's n positions: they rise as a squared sine over the distance to the nearest
+    end that overlaps a neighbour (lead, trail), and are 1 beyond the overlap."""
 
     def one(i: Column) -> Column:
-        up = F.lit(0.5) - F.lit(0.5) * F.cos((i + 0.5) * (math.pi / overlap))
-        down = F.lit(0.5) - F.lit(0.5) * F.cos((F.lit(n) - i - 0.5) * (math.pi / overlap))
-        return F.when(lead & (i < overlap), up).otherwise(F.lit(1.0)) * F.when(
-            trail & (i >= n - overlap), down
-        ).otherwise(F.lit(1.0))
+        far = F.lit(float(overlap))
+        near = F.least(F.when(lead, i + 0.5).otherwise(far), F.when(trail, F.lit(n) - 0.5 - i).otherwise(far), far)
+        return F.pow(F.sin(near * (math.pi / 2 / overlap)), 2)
 
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), one)
 
 
+def tiles(length: int, tile: int, overlap: int) -> list[tuple[int, int, np.ndarray]]:
+    """(start, end, feather) of each tile along one axis: the same rules on arrays."""
+    size, last = min(tile, length), max(length - tile, 0)
+    starts = np.minimum(np.arange(math.ceil(last / (tile - overlap)) + 1) * (tile - overlap), last)
+    at = np.arange(size) + 0.5
+    out = []
+    for start in starts.tolist():
+        near = np.full(size, float(max(overlap, 1)))
+        if start > 0:
+            near = np.minimum(near, at)
+        if start < last:
+            near = np.minimum(near, size - at)
+        out.append((start, start + size, np.sin(near * (math.pi / 2 / max(overlap, 1))) ** 2))
+    return out
+
+
 def segment_length(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     dx, dy = x2 - x1, y2 - y1
     return F.sqrt(dx * dx + dy * dy)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framewright.functions import geometry
 from framewright.operators import kernels
 
 #: Hue bands on 0..179, limits of saturation and value on 0..255.
@@ -31,6 +32,22 @@ def to_hsv(rgb: np.ndarray) -> np.ndarray:
     return np.stack([np.rint(hue) % 180, np.rint(sat), top], -1).astype(np.uint8)
 
 
+def hsv(r: Column, g: Column, b: Column) -> dict[str, Column]:
+    """8-bit red, green and blue columns to hue 0..179, saturation and value 0..255 (int)."""
+    top, span = F.greatest(r, g, b), F.greatest(r, g, b) - F.least(r, g, b)
+    sector = F.when(r == top, (g - b) / span).when(g == top, F.lit(2) + (b - r) / span).otherwise(F.lit(4) + (r - g) / span)
+    hue = F.when(span == 0, F.lit(0.0)).otherwise(F.pmod(sector * 30, F.lit(180.0)))
+    sat = F.when(top == 0, F.lit(0.0)).otherwise(span * 255 / top)
+    return {"h": (F.bround(hue).cast("int") % 180), "s": F.bround(sat).cast("int"), "v": top.cast("int")}
+
+
+def masked_mean(values: str, mask: str) -> Column:
+    """Mean of an array's values where the other array is not 0; NULL where the mask is empty."""
+    inside = F.filter(F.arrays_zip(F.col(values).alias("v"), F.col(mask).alias("m")), lambda x: x["m"] != 0)
+    total = F.aggregate(inside, F.lit(0.0), lambda s, x: s + x["v"].cast("double"))
+    return F.when(F.size(inside) > 0, total / F.size(inside))
+
+
 def to_lab(rgb: np.ndarray) -> np.ndarray:
     """Standard RGB on 0..1 to lightness 0..100 and a, b."""
     from framewright.functions.color import SRGB, STANDARD, matrix
@@ -113,6 +130,61 @@ def coverage(df: DataFrame, key: str, mask: str, cutoff: float = 0.5) -> DataFra
     return df.select(key, (F.size(F.filter(mask, lambda x: x > over)) / F.size(mask)).alias("coverage"))
 
 
+# ------------------------------------------------------------------ pixels of whole images, row by row
+
+def composited(df: DataFrame, image: str = "image", fill: str = "fill", probability: str = "probability", cutoff: int = 127) -> DataFrame:
+    """``df`` (h, w, flat 8-bit arrays: image and fill of h*w*3, probability of h*w) with image
+    replaced where the probability exceeds the cutoff, over a soft edge."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf[image] = [
+                kernels.replace_region(*(np.asarray(x, np.uint8).reshape(r_h, r_w, 3) for x in (a, b)), np.asarray(m, np.uint8).reshape(r_h, r_w), cutoff).ravel()
+                for r_h, r_w, a, b, m in zip(pdf["h"], pdf["w"], pdf[image], pdf[fill], pdf[probability])
+            ]
+            yield pdf
+
+    return df.mapInPandas(run, df.schema)
+
+
+def equalized(df: DataFrame, values: str, clip: float = 1.5, grid: int = 8) -> DataFrame:
+    """``df`` (h, w, a flat 8-bit array) with the array's contrast equalised within limits."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf[values] = [
+                kernels.equalize(np.asarray(x, np.uint8).reshape(h, w), clip, grid).ravel() for h, w, x in zip(pdf["h"], pdf["w"], pdf[values])
+            ]
+            yield pdf
+
+    return df.mapInPandas(run, df.schema)
+
+
+def predicted(df: DataFrame, predict, column: str = "prediction", kind: str = "array<double>") -> DataFrame:
+    """``df`` with the column that ``predict`` makes of a batch: any function from a pandas table
+    to one value a row, such as a model's. A batch is an Arrow batch; rows are independent."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(**{column: list(predict(pdf))})
+
+    return df.mapInPandas(run, df.withColumn(column, F.lit(None).cast(kind)).schema)
+
+
+def transformed(df: DataFrame, transform, image: str = "image", mask: str = "mask") -> DataFrame:
+    """``df`` (h, w, flat arrays image of h*w*c and mask of h*w) with every pair replaced by what
+    ``transform(image, mask)`` returns; both arrays keep the size of h and w."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pairs = [
+                transform(np.asarray(x).reshape(h, w, -1), np.asarray(m).reshape(h, w)) for h, w, x, m in zip(pdf["h"], pdf["w"], pdf[image], pdf[mask])
+            ]
+            yield pdf.assign(**{image: [np.asarray(a).ravel() for a, _ in pairs], mask: [np.asarray(b).ravel() for _, b in pairs]})
+
+    return df.mapInPandas(run, df.schema)
+
+
 # ------------------------------------------------------------------ distributed fusion
 
 def fused(frames: DataFrame, tile: int, overlap: int) -> DataFrame:
@@ -128,8 +200,8 @@ def fused(frames: DataFrame, tile: int, overlap: int) -> DataFrame:
         for pdf in batches:
             for r in pdf.itertuples():
                 x = np.asarray(r.pixels, float).reshape(r.h, r.w)
-                for y0, y1, _ in kernels.tile_weights(r.h, tile or r.h, overlap):
-                    for x0, x1, _ in kernels.tile_weights(r.w, tile or r.w, overlap):
+                for y0, y1, _ in geometry.tiles(r.h, tile or r.h, overlap):
+                    for x0, x1, _ in geometry.tiles(r.w, tile or r.w, overlap):
                         yield pd.DataFrame(
                             {"image": [r.image], "k": [r.k], "h": [r.h], "w": [r.w], "y0": [y0], "x0": [x0], "tw": [x1 - x0], "pixels": [x[y0:y1, x0:x1].ravel()]}
                         )
@@ -138,8 +210,8 @@ def fused(frames: DataFrame, tile: int, overlap: int) -> DataFrame:
         pdf = pdf.sort_values("k")
         f = pdf.iloc[0]
         stack = np.stack([np.asarray(p, float) for p in pdf["pixels"]]).reshape(len(pdf), -1, f.tw)
-        wy = next(w for a, _, w in kernels.tile_weights(f.h, tile or f.h, overlap) if a == f.y0)
-        wx = next(w for a, _, w in kernels.tile_weights(f.w, tile or f.w, overlap) if a == f.x0)
+        wy = next(w for a, _, w in geometry.tiles(f.h, tile or f.h, overlap) if a == f.y0)
+        wx = next(w for a, _, w in geometry.tiles(f.w, tile or f.w, overlap) if a == f.x0)
         weight = np.outer(wy, wx)
         value = kernels.fuse(stack) * weight
         return pd.DataFrame(

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framewright.functions import geometry
+
 #: The straightening gate.
 LINES, LARGEST, SMALLEST, KEPT = 4, 30.0, 0.1, 0.60
 #: Fixed value: boundary width as a share of the diagonal.
@@ -150,29 +153,12 @@ def fuse(stack: np.ndarray) -> np.ndarray:
     return (stack * w).sum(0) / w.sum(0)
 
 
-def tile_weights(n: int, tile: int, overlap: int) -> list[tuple[int, int, np.ndarray]]:
-    """(start, end, feather) of each tile along an axis."""
-    if n <= tile:
-        return [(0, n, np.ones(n))]
-    starts = [*range(0, n - tile, tile - overlap), n - tile]
-    out = []
-    for s in starts:
-        w = np.ones(tile)
-        rise = 0.5 - 0.5 * np.cos((np.arange(overlap) + 0.5) * np.pi / overlap)
-        if s > 0:
-            w[:overlap] = rise
-        if s + tile < n:
-            w[-overlap:] *= rise[::-1]
-        out.append((s, s + tile, w))
-    return out
-
-
 def fuse_tiled(stack: np.ndarray, tile: int, overlap: int) -> np.ndarray:
     """The same by overlapping tiles with feathered weights; one tile is the whole exactly."""
     _, h, w = stack.shape
     total, weight = np.zeros((h, w)), np.zeros((h, w))
-    for y0, y1, wy in tile_weights(h, tile, overlap):
-        for x0, x1, wx in tile_weights(w, tile, overlap):
+    for y0, y1, wy in geometry.tiles(h, tile, overlap):
+        for x0, x1, wx in geometry.tiles(w, tile, overlap):
             f = np.outer(wy, wx)
             total[y0:y1, x0:x1] += fuse(stack[:, y0:y1, x0:x1]) * f
             weight[y0:y1, x0:x1] += f
@@ -183,53 +169,31 @@ def fuse_tiled(stack: np.ndarray, tile: int, overlap: int) -> np.ndarray:
 
 def rotation_to_vertical(point: np.ndarray, focal: float) -> tuple[np.ndarray, float]:
     """(rotation, degrees): the least rotation that turns the direction to a vanishing point, in
-    pixels from the centre, onto the y axis; from the two vectors without an axis-angle form."""
-    d = np.array([point[0] / focal, point[1] / focal, point[2]], float)
-    d /= np.linalg.norm(d)
-    d = -d if d[1] < 0 else d
-    y = np.array([0.0, 1.0, 0.0])
-    v, c = np.cross(d, y), float(d @ y)
-    k = np.array([[0, -v[2], v[1]], [v[2], 0, -v[0]], [-v[1], v[0], 0]])
-    return np.eye(3) + k + k @ k / (1 + c), math.degrees(math.acos(min(1.0, c)))
+    pixels from the centre, onto the y axis. Two mirrors in a row turn by twice the angle between
+    them: the first stands across the direction, the second across the half-way direction."""
+    seen = np.asarray(point, float) / (focal, focal, 1.0)
+    seen /= np.copysign(np.linalg.norm(seen), seen[1])  # a point and its opposite are one; the nearer counts
+    up = np.eye(3)[1]
+    half = (seen + up) / np.linalg.norm(seen + up)
+    mirror = lambda across: np.eye(3) - 2 * np.outer(across, across)
+    return mirror(half) @ mirror(seen), 2 * math.degrees(math.asin(min(1.0, np.linalg.norm(seen - up) / 2)))
 
 
-def inscribed_rectangle(corners: np.ndarray, aspect: float, rounds: int = 60) -> tuple[float, float, float] | None:
+def inscribed_rectangle(corners: np.ndarray, aspect: float) -> tuple[float, float, float] | None:
     """(centre x, centre y, half width) of the largest upright rectangle of an aspect ratio inside a
-    convex polygon. For a half width the centres that fit form a polygon (each edge moved inward);
-    bisection finds the greatest half width that leaves one."""
-    p, q = corners, np.roll(corners, -1, 0)
-    e = q - p
-    area = float((p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1]).sum())
-    normal = np.stack([e[:, 1], -e[:, 0]], 1) * (1 if area > 0 else -1)
-    reach = np.abs(normal[:, 0]) + np.abs(normal[:, 1]) / aspect
-    bound = (normal * p).sum(1)
-
-    def room(a: float) -> np.ndarray | None:
-        shape = corners.copy()
-        for n, c in zip(normal, bound - a * reach):
-            side = shape @ n - c
-            nxt, after = np.roll(shape, -1, 0), np.roll(side, -1)
-            out = []
-            for x, y, s, t in zip(shape, nxt, side, after):
-                if s <= 1e-9:
-                    out.append(x)
-                if (s < -1e-9 and t > 1e-9) or (s > 1e-9 and t < -1e-9):
-                    out.append(x + (y - x) * s / (s - t))
-            if not out:
-                return None
-            shape = np.array(out)
-        return shape.mean(0)
-
-    low, high = 0.0, float(np.ptp(corners[:, 0])) / 2
-    best = None
-    for _ in range(rounds):
-        mid = (low + high) / 2
-        centre = room(mid)
-        if centre is None:
-            high = mid
-        else:
-            low, best = mid, (float(centre[0]), float(centre[1]), mid)
-    return best
+    convex polygon of any number of corners. Each edge is a linear bound on centre and half width;
+    the best of this linear programme is a point where the bounds of three edges meet, and all such
+    points are solved at once."""
+    along = np.roll(corners, -1, 0) - corners
+    outward = np.column_stack([along[:, 1], -along[:, 0]]) / np.hypot(*along.T)[:, None]
+    outward *= np.sign(((corners - corners.mean(0)) * outward).sum(1))[:, None]
+    bounds = np.column_stack([outward, np.abs(outward) @ (1.0, 1.0 / aspect)])
+    limits = (outward * corners).sum(1)
+    threes = np.array(list(combinations(range(len(corners)), 3)))
+    threes = threes[np.abs(np.linalg.det(bounds[threes])) > 1e-12]
+    meet = np.linalg.solve(bounds[threes], limits[threes][..., None])[..., 0]
+    meet = meet[(meet @ bounds.T <= limits + 1e-6 * (1 + np.abs(limits))).all(1) & (meet[:, 2] > 0)]
+    return tuple(meet[meet[:, 2].argmax()].tolist()) if len(meet) else None
 
 
 # ------------------------------------------------------------------ contrast and compositing

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framewright.functions import color
+from framewright.functions.numeric import clamp
+
 #: Strength, caps on lightness and colour shifts, smallest group.
 STRENGTH, CAP_L, CAP_AB, GROUP = 0.7, 12.0, 8.0, 3
 #: Radius and rounds of the trimmed centre, least share of neutral values.
 RADIUS, ROUNDS, NEUTRAL = 12.0, 3, 0.05
+#: Lightness that is measured, least share of pixels in it.
+VALID_L, VALID = (3.0, 97.0), 0.10
 
 
 def targets(df: DataFrame, group: str, least: int = GROUP) -> DataFrame:
@@ -77,3 +82,31 @@ def trimmed_centre(df: DataFrame, group: str, a: str, b: str, radius: float = RA
             (keep | (F.col("ns") == 0)).alias("done"),
         )
     return centre.drop("done")
+
+
+def measure(pixels: DataFrame, image: str, valid: float = VALID, neutral: float = NEUTRAL, radius: float = RADIUS) -> DataFrame:
+    """image, l, a, b, valid_share, neutral_share of pixel rows (image, l, a, b). Only pixels away
+    from black and white count; an image with too few has no measure, one with too few neutral
+    pixels has no cast (a, b)."""
+    inside = F.col("l").between(*VALID_L)
+    light = pixels.groupBy(image).agg(
+        F.avg(F.when(inside, 1.0).otherwise(0.0)).alias("valid_share"), F.median(F.when(inside, F.col("l"))).alias("_l")
+    )
+    centre = trimmed_centre(pixels.filter(inside), image, "a", "b", radius)
+    enough = F.col("valid_share") >= valid
+    cast = enough & (F.col("share") >= neutral)
+    return light.join(centre, image, "left").select(
+        image, F.when(enough, F.col("_l")).alias("l"), F.when(cast, F.col("a")).alias("a"), F.when(cast, F.col("b")).alias("b"),
+        "valid_share", F.when(enough, F.col("share")).otherwise(0.0).alias("neutral_share"),
+    )
+
+
+def corrected(pixels: DataFrame, source_l: Column, new_l: Column, da: Column, db: Column) -> DataFrame:
+    """Pixel rows with l, a, b moved: lightness by the power curve that takes source_l to new_l,
+    colour by the shifts, which fade out towards black and white."""
+    gamma = color.tone_gamma(source_l, new_l)
+    light = F.when(F.abs(gamma - 1) <= 1e-6, F.col("l")).otherwise(color.tone_curve(clamp(F.col("l"), 0, 100), gamma))
+    fade = color.edge_taper(F.col("_l"))
+    shifted = lambda c, d: (F.col(c) + F.coalesce(d, F.lit(0.0)) * fade).alias(c)
+    keep = [c for c in pixels.columns if c not in ("l", "a", "b")]
+    return pixels.withColumn("_l", light).select(*keep, F.col("_l").alias("l"), shifted("a", da), shifted("b", db))

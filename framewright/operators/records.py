@@ -29,7 +29,7 @@ def sync_records(df: DataFrame, group: str, source: str, run_of: Column, at: str
 def classification_rows(df: DataFrame, source: str, at: str) -> DataFrame:
     """One row for each feature record: call, label, confidence, the record, its room scores as a
     map by name, and the thresholds, as JSON; no label by hand yet."""
-    rooms = F.map_from_arrays(F.array(*[F.lit(r) for r in scoring.ROOMS]), F.array(*[scoring.rooms(F.col)[r] for r in scoring.ROOMS]))
+    rooms = F.map_from_arrays(F.array(*[F.lit(r) for r in scoring.ROOMS]), F.array(*[scoring.score(terms) for terms in scoring.ROOMS.values()]))
     scored = scoring.choose_room(scoring.classify(scoring.logged(df)).withColumn("scores", F.to_json(rooms)))
     inside = F.col("call") == "interior"
     return scored.select(

@@ -2,51 +2,79 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framewright.functions.numeric import ramp
 
-#: The feature record, in four groups.
+#: The feature record in its own order and names (brightness, colour, top region, edges).
 FEATURES = (
-    "brightness_mean", "brightness_std", "p05", "p50", "p95", "clipped", "dark", "zone_ratio",
-    "sat_mean", "sat_std", "warm", "green", "blue", "neutral", "white", "green_bottom",
-    "top_area", "top_coverage", "below_ratio", "residual", "sky_blue", "texture",
-    "edge_density", "line_length", "axis_share", "line_count",
+    "lum_mean", "lum_std", "lum_p5", "lum_p50", "lum_p95", "clipped_frac", "dark_frac", "top_bottom_ratio",
+    "sat_mean", "sat_std", "blue_frac", "green_frac", "warm_frac", "neutral_frac", "white_frac", "green_bottom_frac",
+    "sky_area_frac", "sky_top_coverage", "sky_edge_density", "sky_residual", "sky_below_ratio", "sky_colour_support",
+    "edge_density", "line_length_norm", "axis_line_frac", "fine_texture",
 )
 #: Thresholds of the decision and of the room choice.
 THRESHOLDS = {
     "exterior": 0.55, "interior": 0.50, "margin": 0.20, "span": 0.70, "unsure": 0.2,
     "temperature": 0.1, "room": 0.55, "room_margin": 0.08,
 }
-ROOMS = ("bathroom", "kitchen", "living")
+UP, DOWN = "up", "down"
+#: What makes each score. A factor (feature, low, high, direction) is a ramp between two
+#: limits, or the feature itself without them; a term is a weight times its factors; a score sums terms.
+TOP_REGION = (("sky_area_frac", 0.05, 0.25, UP), ("sky_top_coverage", 0.30, 0.80, UP))
+BRIGHTER = ("sky_below_ratio", 1.0, 1.15, UP)
+EVIDENCE = {
+    "exterior": (
+        (0.80 * 0.4, (*TOP_REGION, BRIGHTER)),
+        (0.80 * 0.6 * 0.55, (*TOP_REGION, BRIGHTER, ("sky_edge_density", 0.01, 0.06, DOWN))),
+        (0.80 * 0.6 * 0.45, (*TOP_REGION, BRIGHTER, ("sky_residual", 0.04, 0.15, DOWN))),
+        (0.10, (*TOP_REGION, ("sky_colour_support", None, None, UP))),
+        (0.10, (("green_bottom_frac", 0.05, 0.30, UP),)),
+    ),
+    "interior": (
+        (0.70, (*TOP_REGION, ("sky_below_ratio", 0.85, 1.05, DOWN))),
+        (0.30, (("axis_line_frac", 0.60, 0.90, UP), ("line_length_norm", 1.0, 3.0, UP))),
+    ),
+}
+ROOMS = {
+    "bathroom": (
+        (0.40, (("white_frac", 0.15, 0.45, UP),)),
+        (0.25, (("sat_mean", 0.10, 0.30, DOWN),)),
+        (0.20, (("neutral_frac", 0.30, 0.70, UP),)),
+        (0.15, (("fine_texture", 0.02, 0.06, UP),)),
+    ),
+    "kitchen": (
+        (0.35, (("edge_density", 0.05, 0.14, UP),)),
+        (0.30, (("line_length_norm", 0.5, 3.0, UP),)),
+        (0.20, (("axis_line_frac", 0.50, 0.85, UP),)),
+        (0.15, (("neutral_frac", 0.20, 0.50, UP),)),
+    ),
+    "bedroom-living": (
+        (0.35, (("warm_frac", 0.10, 0.40, UP),)),
+        (0.30, (("edge_density", 0.04, 0.12, DOWN),)),
+        (0.20, (("sat_mean", 0.12, 0.30, UP),)),
+        (0.15, (("white_frac", 0.10, 0.35, DOWN),)),
+    ),
+}
 
 
 def record_type() -> T.StructType:
     return T.StructType([T.StructField(f, T.DoubleType()) for f in FEATURES])
 
 
-def presence(f) -> Column:
-    return ramp(f("top_area"), 0.05, 0.25) * ramp(f("top_coverage"), 0.30, 0.80)
+def factor(feature: str, low: float | None, high: float | None, direction: str) -> Column:
+    value = F.col(feature) if low is None else ramp(F.col(feature), low, high)
+    return value if direction == UP else F.lit(1.0) - value
 
 
-def exterior(f) -> Column:
-    """Evidence of an outdoor view; f gives a feature's column by name."""
-    quality = F.lit(0.55) * (F.lit(1.0) - ramp(f("edge_density"), 0.01, 0.06)) + F.lit(0.45) * (
-        F.lit(1.0) - ramp(f("residual"), 0.04, 0.15)
-    )
-    structure = ramp(f("below_ratio"), 1.0, 1.15) * (F.lit(0.4) + F.lit(0.6) * quality)
-    return (
-        F.lit(0.80) * presence(f) * structure
-        + F.lit(0.10) * presence(f) * f("sky_blue")
-        + F.lit(0.10) * ramp(f("green_bottom"), 0.05, 0.30)
-    )
-
-
-def interior(f) -> Column:
-    lines = ramp(f("axis_share"), 0.60, 0.90) * ramp(f("line_length"), 1, 3)
-    return F.lit(0.70) * presence(f) * (F.lit(1.0) - ramp(f("below_ratio"), 0.85, 1.05)) + F.lit(0.30) * lines
+def score(terms: tuple) -> Column:
+    """The sum of a score's terms over columns of the features' names."""
+    each = [F.lit(float(weight)) * reduce(Column.__mul__, [factor(*f) for f in factors]) for weight, factors in terms]
+    return reduce(Column.__add__, each)
 
 
 def decide(e: Column, i: Column, t: dict = THRESHOLDS) -> tuple[Column, Column]:
@@ -58,22 +86,9 @@ def decide(e: Column, i: Column, t: dict = THRESHOLDS) -> tuple[Column, Column]:
     return call, F.when(out, sure(e - i)).when(within, sure(i - e)).otherwise(F.lit(t["unsure"]))
 
 
-def rooms(f) -> dict[str, Column]:
-    """Weighted blends of features, by room."""
-    no = lambda x: F.lit(1.0) - x
-    return {
-        "bathroom": F.lit(0.40) * ramp(f("white"), 0.15, 0.45) + F.lit(0.25) * no(ramp(f("sat_mean"), 0.10, 0.30))
-        + F.lit(0.20) * ramp(f("neutral"), 0.30, 0.70) + F.lit(0.15) * ramp(f("texture"), 0.02, 0.06),
-        "kitchen": F.lit(0.35) * ramp(f("edge_density"), 0.05, 0.14) + F.lit(0.30) * ramp(f("line_length"), 0.5, 3)
-        + F.lit(0.20) * ramp(f("axis_share"), 0.50, 0.85) + F.lit(0.15) * ramp(f("neutral"), 0.20, 0.50),
-        "living": F.lit(0.35) * ramp(f("warm"), 0.10, 0.40) + F.lit(0.30) * no(ramp(f("edge_density"), 0.04, 0.12))
-        + F.lit(0.20) * ramp(f("sat_mean"), 0.12, 0.30) + F.lit(0.15) * no(ramp(f("white"), 0.10, 0.35)),
-    }
-
-
 def choose_room(df: DataFrame, t: dict = THRESHOLDS) -> DataFrame:
     """``df`` (with columns of the features' names) with room, probability, lead."""
-    scores = rooms(F.col)
+    scores = {room: score(terms) for room, terms in ROOMS.items()}
     top = F.greatest(*scores.values())
     weights = {r: F.exp((s - top) / t["temperature"]) for r, s in scores.items()}
     total = sum(weights.values(), F.lit(0.0))
@@ -94,8 +109,7 @@ def choose_room(df: DataFrame, t: dict = THRESHOLDS) -> DataFrame:
 
 def classify(df: DataFrame, t: dict = THRESHOLDS) -> DataFrame:
     """``df`` with exterior, interior, call, confidence."""
-    e, i = exterior(F.col), interior(F.col)
-    scored = df.withColumns({"exterior": e, "interior": i})
+    scored = df.withColumns({name: score(terms) for name, terms in EVIDENCE.items()})
     call, sure = decide(F.col("exterior"), F.col("interior"), t)
     return scored.withColumns({"call": call, "confidence": sure})
 

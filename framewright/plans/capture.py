@@ -209,6 +209,42 @@ def trimmed_centre(spark, sf):
     return out.select("l_suppkey", *[F.round(c, 6).alias(c) for c in ("a", "b", "share")])
 
 
+@query("""
+WITH p AS (SELECT l_suppkey AS g, l_quantity * 2 AS l, l_discount * 100 AS x, l_tax * 100 AS y FROM lineitem),
+m AS (SELECT g, avg(CASE WHEN l BETWEEN 3 AND 97 THEN 1.0 ELSE 0.0 END) AS valid_share, median(l) FILTER (l BETWEEN 3 AND 97) AS l FROM p GROUP BY g),
+r AS (SELECT g, x, y FROM p WHERE l BETWEEN 3 AND 97),
+c0 AS (SELECT g, median(x) AS a, median(y) AS b, CAST(1 AS DOUBLE) AS share, false AS done FROM r GROUP BY g)"""
++ _round(0) + _round(1) + _round(2) + """
+SELECT m.g AS l_suppkey, round(CASE WHEN valid_share >= 0.94 THEN l END, 6) AS l, round(CASE WHEN valid_share >= 0.94 AND share >= 0.3 THEN a END, 6) AS a,
+  round(CASE WHEN valid_share >= 0.94 AND share >= 0.3 THEN b END, 6) AS b, round(valid_share, 6) AS valid_share,
+  round(CASE WHEN valid_share >= 0.94 THEN share ELSE 0 END, 6) AS neutral_share FROM m LEFT JOIN c3 ON c3.g = m.g""")
+def image_measure(spark, sf):
+    """Lightness and colour cast of images from their pixels, with the least shares."""
+    l = table(spark, sf, "lineitem").select(
+        "l_suppkey", (F.col("l_quantity") * 2).alias("l"), (F.col("l_discount") * 100).alias("a"), (F.col("l_tax") * 100).alias("b")
+    )
+    out = normalize.measure(l, "l_suppkey", 0.94, 0.3, 2.53)
+    return out.select("l_suppkey", *[F.round(c, 6).alias(c) for c in ("l", "a", "b", "valid_share", "neutral_share")])
+
+
+@query("""
+WITH p AS (SELECT l_orderkey, l_linenumber, l_quantity * 2 AS l, l_discount * 100 AS a, l_tax * 100 AS b, 30 + l_suppkey % 40 AS old, 32 + l_suppkey % 31 AS new,
+  CASE WHEN l_suppkey % 5 > 0 THEN (l_suppkey % 7) - 3.0::DOUBLE END AS d FROM lineitem),
+g AS (SELECT *, ln(new / 100.0::DOUBLE) / ln(old / 100.0::DOUBLE) AS gamma FROM p),
+m AS (SELECT *, CASE WHEN abs(gamma - 1) <= 1e-6 THEN l ELSE 100 * pow(least(100, greatest(0, l)) / 100, gamma) END AS moved FROM g),
+w AS (SELECT *, greatest(0, least(1, least(moved, 100 - moved) / 10)) AS fade FROM m)
+SELECT l_orderkey, l_linenumber, round(moved, 6) AS l, round(a + coalesce(d, 0) * fade, 6) AS a, round(b - coalesce(d, 0) * fade, 6) AS b FROM w""")
+def gallery_apply(spark, sf):
+    """Pixels after the correction of their image."""
+    supplier = F.col("l_suppkey")
+    shift = F.when(supplier % 5 > 0, (supplier % 7) - F.lit(3.0))
+    pixels = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_suppkey", (F.col("l_quantity") * 2).alias("l"), (F.col("l_discount") * 100).alias("a"), (F.col("l_tax") * 100).alias("b")
+    )
+    out = normalize.corrected(pixels, (F.lit(30) + supplier % 40).cast("double"), (F.lit(32) + supplier % 31).cast("double"), shift, -shift)
+    return out.select("l_orderkey", "l_linenumber", *[F.round(c, 6).alias(c) for c in ("l", "a", "b")])
+
+
 @query("""
 SELECT s.status, count(o.o_orderkey) AS n FROM (VALUES ('F'), ('O'), ('P'), ('X')) s(status)
 LEFT JOIN orders o ON o.o_orderstatus = s.status GROUP BY s.status""")

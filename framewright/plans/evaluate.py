@@ -103,11 +103,11 @@ def early_stop(spark, sf):
 # ------------------------------------------------------------------ scoring
 
 _F = {
-    "top_area": "(doc_id % 29) / 100.0::DOUBLE", "top_coverage": "(doc_id % 101) / 100.0::DOUBLE", "below_ratio": "0.8::DOUBLE + (doc_id % 47) / 100.0::DOUBLE",
-    "edge_density": "(n_chars % 17) / 100.0::DOUBLE", "residual": "(n_chars % 19) / 100.0::DOUBLE", "sky_blue": "(doc_id % 7) / 6.0::DOUBLE",
-    "green_bottom": "(n_chars % 37) / 100.0::DOUBLE", "axis_share": "(doc_id % 97) / 96.0::DOUBLE", "line_length": "(n_chars % 41) / 10.0::DOUBLE",
-    "white": "(n_chars % 53) / 100.0::DOUBLE", "sat_mean": "(doc_id % 43) / 100.0::DOUBLE", "neutral": "(n_chars % 83) / 100.0::DOUBLE",
-    "texture": "(doc_id % 9) / 100.0::DOUBLE", "warm": "(n_chars % 59) / 100.0::DOUBLE",
+    "sky_area_frac": "(doc_id % 29) / 100.0::DOUBLE", "sky_top_coverage": "(doc_id % 101) / 100.0::DOUBLE", "sky_below_ratio": "0.8::DOUBLE + (doc_id % 47) / 100.0::DOUBLE",
+    "edge_density": "(n_chars % 17) / 100.0::DOUBLE", "sky_edge_density": "(doc_id % 13) / 200.0::DOUBLE", "sky_residual": "(n_chars % 19) / 100.0::DOUBLE", "sky_colour_support": "(doc_id % 7) / 6.0::DOUBLE",
+    "green_bottom_frac": "(n_chars % 37) / 100.0::DOUBLE", "axis_line_frac": "(doc_id % 97) / 96.0::DOUBLE", "line_length_norm": "(n_chars % 41) / 10.0::DOUBLE",
+    "white_frac": "(n_chars % 53) / 100.0::DOUBLE", "sat_mean": "(doc_id % 43) / 100.0::DOUBLE", "neutral_frac": "(n_chars % 83) / 100.0::DOUBLE",
+    "fine_texture": "(doc_id % 9) / 100.0::DOUBLE", "warm_frac": "(n_chars % 59) / 100.0::DOUBLE",
 }
 FEATURE_SQL = "WITH f AS (SELECT doc_id, " + ", ".join(f"{v} AS {k}" for k, v in _F.items()) + " FROM documents)"
 
@@ -122,11 +122,11 @@ def ramp_sql(x: str, lo: float, hi: float) -> str:
     return f"greatest(0::DOUBLE, least(1::DOUBLE, ({x} - {float(lo)}::DOUBLE) / ({float(hi)}::DOUBLE - {float(lo)}::DOUBLE)))"
 
 
-_P = f"{ramp_sql('top_area', .05, .25)} * {ramp_sql('top_coverage', .3, .8)}"
-_Q = f"(0.55::DOUBLE * (1 - {ramp_sql('edge_density', .01, .06)}) + 0.45::DOUBLE * (1 - {ramp_sql('residual', .04, .15)}))"
+_P = f"{ramp_sql('sky_area_frac', .05, .25)} * {ramp_sql('sky_top_coverage', .3, .8)}"
+_Q = f"(0.55::DOUBLE * (1 - {ramp_sql('sky_edge_density', .01, .06)}) + 0.45::DOUBLE * (1 - {ramp_sql('sky_residual', .04, .15)}))"
 EVIDENCE_SQL = FEATURE_SQL + f""", e AS (SELECT doc_id,
-  0.8::DOUBLE * {_P} * ({ramp_sql('below_ratio', 1, 1.15)} * (0.4::DOUBLE + 0.6::DOUBLE * {_Q})) + 0.1::DOUBLE * {_P} * sky_blue + 0.1::DOUBLE * {ramp_sql('green_bottom', .05, .3)} AS x,
-  0.7::DOUBLE * {_P} * (1 - {ramp_sql('below_ratio', .85, 1.05)}) + 0.3::DOUBLE * ({ramp_sql('axis_share', .6, .9)} * {ramp_sql('line_length', 1, 3)}) AS i FROM f),
+  0.8::DOUBLE * {_P} * ({ramp_sql('sky_below_ratio', 1, 1.15)} * (0.4::DOUBLE + 0.6::DOUBLE * {_Q})) + 0.1::DOUBLE * {_P} * sky_colour_support + 0.1::DOUBLE * {ramp_sql('green_bottom_frac', .05, .3)} AS x,
+  0.7::DOUBLE * ({_P} * (1 - {ramp_sql('sky_below_ratio', .85, 1.05)})) + 0.3::DOUBLE * ({ramp_sql('axis_line_frac', .6, .9)} * {ramp_sql('line_length_norm', 1, 3)}) AS i FROM f),
 r AS (SELECT doc_id, round(x, 6) AS exterior, round(i, 6) AS interior, CASE WHEN x >= {{ext}} AND x - i >= 0.2 THEN 'exterior' WHEN i >= 0.5 AND i - x >= 0.2 THEN 'interior' ELSE 'unsure' END AS call, x, i FROM e)
 SELECT doc_id, exterior, interior, call, round(CASE call WHEN 'exterior' THEN 0.5::DOUBLE + 0.5::DOUBLE * {ramp_sql('(x - i)', .2, .7)}
   WHEN 'interior' THEN 0.5::DOUBLE + 0.5::DOUBLE * {ramp_sql('(i - x)', .2, .7)} ELSE 0.2 END, 6) AS confidence FROM r"""
@@ -148,11 +148,11 @@ def rescore_log(spark, sf):
 
 
 @query(FEATURE_SQL + f""", s AS (SELECT doc_id,
-  0.4::DOUBLE * {ramp_sql('white', .15, .45)} + 0.25::DOUBLE * (1 - {ramp_sql('sat_mean', .1, .3)}) + 0.2::DOUBLE * {ramp_sql('neutral', .3, .7)} + 0.15::DOUBLE * {ramp_sql('texture', .02, .06)} AS b,
-  0.35::DOUBLE * {ramp_sql('edge_density', .05, .14)} + 0.3::DOUBLE * {ramp_sql('line_length', .5, 3)} + 0.2::DOUBLE * {ramp_sql('axis_share', .5, .85)} + 0.15::DOUBLE * {ramp_sql('neutral', .2, .5)} AS k,
-  0.35::DOUBLE * {ramp_sql('warm', .1, .4)} + 0.3::DOUBLE * (1 - {ramp_sql('edge_density', .04, .12)}) + 0.2::DOUBLE * {ramp_sql('sat_mean', .12, .3)} + 0.15::DOUBLE * (1 - {ramp_sql('white', .1, .35)}) AS l FROM f),
+  0.4::DOUBLE * {ramp_sql('white_frac', .15, .45)} + 0.25::DOUBLE * (1 - {ramp_sql('sat_mean', .1, .3)}) + 0.2::DOUBLE * {ramp_sql('neutral_frac', .3, .7)} + 0.15::DOUBLE * {ramp_sql('fine_texture', .02, .06)} AS b,
+  0.35::DOUBLE * {ramp_sql('edge_density', .05, .14)} + 0.3::DOUBLE * {ramp_sql('line_length_norm', .5, 3)} + 0.2::DOUBLE * {ramp_sql('axis_line_frac', .5, .85)} + 0.15::DOUBLE * {ramp_sql('neutral_frac', .2, .5)} AS k,
+  0.35::DOUBLE * {ramp_sql('warm_frac', .1, .4)} + 0.3::DOUBLE * (1 - {ramp_sql('edge_density', .04, .12)}) + 0.2::DOUBLE * {ramp_sql('sat_mean', .12, .3)} + 0.15::DOUBLE * (1 - {ramp_sql('white_frac', .1, .35)}) AS l FROM f),
 w AS (SELECT doc_id, exp((b - greatest(b, k, l)) / 0.1::DOUBLE) AS b, exp((k - greatest(b, k, l)) / 0.1::DOUBLE) AS k, exp((l - greatest(b, k, l)) / 0.1::DOUBLE) AS l FROM s),
-p AS (SELECT doc_id, list_reverse_sort([{{'p': b / (b + k + l), 'room': 'bathroom'}}, {{'p': k / (b + k + l), 'room': 'kitchen'}}, {{'p': l / (b + k + l), 'room': 'living'}}]) AS x FROM w)
+p AS (SELECT doc_id, list_reverse_sort([{{'p': b / (b + k + l), 'room': 'bathroom'}}, {{'p': k / (b + k + l), 'room': 'kitchen'}}, {{'p': l / (b + k + l), 'room': 'bedroom-living'}}]) AS x FROM w)
 SELECT doc_id, CASE WHEN x[1].p >= 0.55 AND x[1].p - x[2].p >= 0.08 THEN x[1].room ELSE 'other' END AS room,
   round(CASE WHEN x[1].p >= 0.55 AND x[1].p - x[2].p >= 0.08 THEN x[1].p ELSE 0.2 END, 6) AS probability, round(x[1].p - x[2].p, 6) AS lead FROM p""")
 def room_argmax(spark, sf):
@@ -204,13 +204,23 @@ def group_split(spark, sf):
     return dataset.hashed_splits(table(spark, sf, "documents"), "source", 0, 0.2, 0.2)
 
 
-@query("SELECT 'leaks' AS \"check\", 0::BIGINT AS violations UNION ALL SELECT 'uncovered', 0 UNION ALL SELECT 'repeated', 0 UNION ALL SELECT 'foreign', 0")
+@query(SPLIT_SQL + """,
+x AS (SELECT source, split FROM documents JOIN p USING (source) UNION ALL SELECT source, 'test' FROM documents WHERE doc_id % 400 = 7),
+parts AS (SELECT source FROM p WHERE source NOT LIKE '%7' UNION ALL SELECT source FROM p WHERE source LIKE '%1' UNION ALL SELECT 'stray'),
+t AS (SELECT source, count(*) AS n FROM parts GROUP BY source)
+SELECT 'leaks' AS "check", count(*) AS violations FROM (SELECT source FROM x GROUP BY source HAVING count(DISTINCT split) > 1)
+UNION ALL SELECT 'uncovered', count(*) FROM g WHERE source NOT IN (SELECT source FROM t)
+UNION ALL SELECT 'repeated', count(*) FROM t WHERE n > 1
+UNION ALL SELECT 'foreign', count(*) FROM t WHERE source NOT IN (SELECT source FROM g)""")
 def leak_check(spark, sf):
-    """No group in two splits, every group in one."""
+    """Groups in two splits, and groups that splits leave out, name twice or make up, all planted."""
     docs = table(spark, sf, "documents")
     splits = dataset.hashed_splits(docs, "source", 0, 0.2, 0.2)
-    rows = docs.select("doc_id", "source").join(splits, "source")
-    cover = verify.exact_cover(splits, docs, "source")
+    planted = docs.filter("doc_id % 400 = 7").select("source", F.lit("test").alias("split"))
+    rows = docs.select("source").join(splits, "source").unionByName(planted)
+    stray = spark.createDataFrame([("stray", "train")], "source string, split string")
+    parts = splits.filter("source not like '%7'").unionByName(splits.filter("source like '%1'")).unionByName(stray)
+    cover = verify.exact_cover(parts, docs, "source")
     return verify.tally({"leaks": verify.leaks(rows, "source", "split")}).unionByName(
         cover.select(F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).alias("violations")) for c in ("uncovered", "repeated", "foreign")])).alias("x")).select("x.*")
     )
@@ -223,7 +233,19 @@ def sample_per_group(spark, sf):
     return dataset.sample_per_group(table(spark, sf, "documents"), "source", "doc_id", 10, 5).select("source", "doc_id", "pick")
 
 
-@query()
+@query("""
+WITH v AS (SELECT label, unnest(embedding)::DOUBLE AS e, generate_subscripts(embedding, 1) AS p FROM embeddings),
+c AS (SELECT label, p, avg(e) AS a FROM v GROUP BY label, p),
+s AS (SELECT p, avg(a) AS m, stddev_pop(a) AS s FROM c GROUP BY p),
+z AS (SELECT label, p, (a - m) / (s + 1e-9) AS z FROM c JOIN s USING (p)),
+d AS (SELECT a.label AS x, b.label AS y, sqrt(sum((a.z - b.z) * (a.z - b.z))) AS d FROM z a JOIN z b USING (p) GROUP BY a.label, b.label),
+p1 AS (SELECT label, 1 AS pick FROM z GROUP BY label ORDER BY sum(z * z), label LIMIT 1),
+p2 AS (SELECT y AS label, 2 AS pick FROM d WHERE x IN (SELECT label FROM p1) AND y NOT IN (SELECT label FROM p1) GROUP BY y ORDER BY min(d) DESC, y LIMIT 1),
+c2 AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2),
+p3 AS (SELECT y AS label, 3 AS pick FROM d WHERE x IN (SELECT label FROM c2) AND y NOT IN (SELECT label FROM c2) GROUP BY y ORDER BY min(d) DESC, y LIMIT 1),
+c3 AS (SELECT * FROM c2 UNION ALL SELECT * FROM p3),
+p4 AS (SELECT y AS label, 4 AS pick FROM d WHERE x IN (SELECT label FROM c3) AND y NOT IN (SELECT label FROM c3) GROUP BY y ORDER BY min(d) DESC, y LIMIT 1)
+SELECT * FROM c3 UNION ALL SELECT * FROM p4""")
 def farthest_point(spark, sf):
     """Four label centroids that cover the embedding space, by every component of the vectors."""
     e = table(spark, sf, "embeddings")
@@ -244,7 +266,9 @@ def profile_report(spark, sf):
 
 
 @query("""
-SELECT doc_id, source FROM documents WHERE doc_id % 2 = 1 OR doc_id % 6 = 0""")
+WITH d AS (SELECT doc_id, source, md5(text) AS m FROM documents),
+c AS (SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'stale' ELSE m END AS m FROM d WHERE doc_id % 2 = 0)
+SELECT doc_id, source FROM d WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = d.doc_id AND c.m = d.m)""")
 def checksum_worklist(spark, sf):
     """Files whose checksum the catalog does not confirm."""
     docs = table(spark, sf, "documents").select("doc_id", "source", F.md5(F.col("text").cast("binary")).alias("md5"))
@@ -376,7 +400,14 @@ def size_budget(spark, sf):
     return kernels.best_quality(sizes, "p_partkey", 30_000, 40)
 
 
-@query()
+@query("""
+WITH v AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS e, generate_subscripts(embedding, 1) - 1 AS p FROM embeddings),
+m AS (SELECT vec_id, label, p // 8 AS y, p % 8 AS x, (e > 0)::INT AS t, (e > 0.1::DOUBLE)::INT AS g FROM v),
+b AS (
+  SELECT a.vec_id, a.label, a.y, a.x, a.t = 1 AND sum(n.t) < 9 AS t, a.g = 1 AND sum(n.g) < 9 AS g
+  FROM m a JOIN m n ON n.vec_id = a.vec_id AND abs(n.y - a.y) <= 1 AND abs(n.x - a.x) <= 1 GROUP BY a.vec_id, a.label, a.y, a.x, a.t, a.g)
+SELECT label, CAST(count(*) FILTER (t AND g) AS BIGINT) AS inter, CAST(count(*) FILTER (t OR g) AS BIGINT) AS "union", count(DISTINCT vec_id) AS images
+FROM b GROUP BY label""")
 def boundary_iou(spark, sf):
     """Pooled intersection and union of inner boundaries of two masks by label."""
     e = table(spark, sf, "embeddings")
@@ -480,6 +511,36 @@ def surface_residual(spark, sf):
     return _rounded(images.surface_residual(l, ["l_suppkey"], "x", "y", "v"), "residual")
 
 
+@query("""
+WITH p AS (SELECT l_orderkey, l_linenumber, (l_partkey % 256)::DOUBLE AS r, (l_orderkey % 256)::DOUBLE AS g, (l_suppkey * 7 % 256)::DOUBLE AS b FROM lineitem),
+t AS (SELECT *, greatest(r, g, b) AS top, greatest(r, g, b) - least(r, g, b) AS span FROM p),
+h AS (SELECT *, CASE WHEN span = 0 THEN 0 WHEN r = top THEN (g - b) / span WHEN g = top THEN 2 + (b - r) / span ELSE 4 + (r - g) / span END * 30 AS hue FROM t)
+SELECT l_orderkey, l_linenumber, CAST(round_even(CASE WHEN hue < 0 THEN hue + 180 ELSE hue END, 0) AS INTEGER) % 180 AS h,
+  CAST(round_even(CASE WHEN top = 0 THEN 0 ELSE span * 255 / top END, 0) AS INTEGER) AS s, CAST(top AS INTEGER) AS v FROM h""")
+def hsv_pixels(spark, sf):
+    """Hue, saturation and value of 8-bit pixel rows."""
+    l = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", (F.col("l_partkey") % 256).alias("r"), (F.col("l_orderkey") % 256).alias("g"), (F.col("l_suppkey") * 7 % 256).alias("b")
+    )
+    return l.select("l_orderkey", "l_linenumber", *[c.alias(n) for n, c in images.hsv(F.col("r"), F.col("g"), F.col("b")).items()])
+
+
+@query("""
+WITH v AS (SELECT vec_id, label, floor(128 + 100 * unnest(embedding)::DOUBLE) AS g, generate_subscripts(embedding, 1) - 1 AS p FROM embeddings),
+m AS (SELECT vec_id, label, avg(g) FILTER (p % 4 <> label % 4) AS light FROM v GROUP BY vec_id, label)
+SELECT label, CASE WHEN vec_id % 3 > 0 AND vec_id % 24 NOT BETWEEN 7 AND 17 THEN 'night' WHEN vec_id % 11 = 0 THEN 'unreadable' WHEN light < 128 THEN 'dark' ELSE 'kept' END AS disposition,
+  count(*) AS n, round(avg(light), 6) AS light FROM m GROUP BY ALL""")
+def masked_brightness(spark, sf):
+    """Drop reasons in order, brightness judged inside a mask only."""
+    e = table(spark, sf, "embeddings").select(
+        "vec_id", "label", F.transform("embedding", lambda x: F.floor(F.lit(128) + F.lit(100) * x.cast("double"))).alias("gray"),
+        F.transform("embedding", lambda x, i: (i % 4 != F.col("label") % 4).cast("int")).alias("mask"),
+    ).withColumn("light", images.masked_mean("gray", "mask"))
+    split = F.when(F.col("vec_id") % 3 > 0, "train").otherwise("test")
+    reason = dataset.disposition(split, (F.col("vec_id") % 24).cast("int"), F.col("vec_id") % 11 != 0, F.col("light"), 128.0)
+    return e.groupBy("label", reason.alias("disposition")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("light"), 6).alias("light"))
+
+
 @query("""
 WITH p AS (SELECT l_suppkey, CAST(l_partkey % 180 AS INTEGER) AS h, CAST(l_orderkey % 256 AS INTEGER) AS s, CAST(l_quantity * 5 AS INTEGER) AS v FROM lineitem)
 SELECT l_suppkey, round(avg((s >= 40 AND v >= 40 AND h BETWEEN 95 AND 130)::INT), 6) AS blue, round(avg((s >= 40 AND v >= 40 AND h BETWEEN 35 AND 85)::INT), 6) AS green,

@@ -17,10 +17,40 @@ class Store:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
 
+    def _at(self, name: str):
+        """(file system, path) of a folder of the store."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def _move(self, name: str, to: str) -> None:
+        (fs, a), (_, b) = self._at(name), self._at(to)
+        if not fs.rename(a, b):
+            raise OSError(f"{a.toString()} could not be renamed")
+
+    def _drop(self, name: str) -> None:
+        fs, p = self._at(name)
+        fs.delete(p, True)
+
+    def _has(self, name: str) -> bool:
+        fs, p = self._at(name)
+        return fs.exists(p)
+
     def exists(self, name: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+        if not self._has(name) and self._has(f"_old-{name}"):
+            self._move(f"_old-{name}", name)  # a replacement stopped between its two renames
+        return self._has(name)
+
+    def replace(self, name: str, df: DataFrame) -> None:
+        """Put ``df``, which may read the table itself, in a table's place: it is written in full
+        beside the table, then two renames swap them. Stopped anywhere, the next use finds the old
+        table or the new one, whole."""
+        staged = f"_staged-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{staged}")
+        if self.exists(name):
+            self._drop(f"_old-{name}")
+            self._move(name, f"_old-{name}")
+        self._move(staged, name)
+        self._drop(f"_old-{name}")
 
     def read(self, name: str, schema: str) -> DataFrame:
         if not self.exists(name):
@@ -28,6 +58,7 @@ class Store:
         return schemas.migrated(self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/{name}"), schema)
 
     def append(self, name: str, df: DataFrame) -> None:
+        self.exists(name)
         df.write.mode("append").parquet(f"{self.path}/{name}")
 
     def enqueue(self, brackets: DataFrame, at: str) -> dict[str, int]:
@@ -42,13 +73,15 @@ class Store:
         rows = fresh.crossJoin(F.broadcast(top)).select(
             (F.col("_top") + number).alias("job_id"), "bracket_files", F.lit("pending").alias("status"), "output_path", F.lit(at).alias("created_at"), "settings",
         )
-        staged = f"{self.path}/_staged-{uuid.uuid4().hex}"
-        schemas.migrated(rows, schemas.JOBS).write.parquet(staged)
-        rows = self.spark.read.parquet(staged)
+        staged = f"_staged-{uuid.uuid4().hex}"
+        schemas.migrated(rows, schemas.JOBS).write.parquet(f"{self.path}/{staged}")
+        rows = self.spark.read.parquet(f"{self.path}/{staged}")
         added = rows.count()
         self.append("jobs", rows)
         self.log(rows.select("job_id", F.lit(None).cast("string").alias("old_status"), F.lit("pending").alias("new_status"), F.lit(at).alias("timestamp")))
-        return {"added": added, "skipped": brackets.count() - added}
+        skipped = brackets.count() - added
+        self._drop(staged)
+        return {"added": added, "skipped": skipped}
 
     def log(self, rows: DataFrame) -> None:
         """Append transitions."""
@@ -78,7 +111,5 @@ class Store:
         """Remove adjustments by key (or all); the number removed."""
         kept, gone = learn.forget(self.read("adjustments", schemas.ADJUSTMENTS), key, value)
         removed = gone.first()["removed"]
-        staged = f"{self.path}/_staged-{uuid.uuid4().hex}"
-        kept.write.parquet(staged)
-        self.spark.read.parquet(staged).write.mode("overwrite").parquet(f"{self.path}/adjustments")
+        self.replace("adjustments", kept)
         return removed

@@ -96,3 +96,29 @@ def test_stream_equals_batch(spark, tmp_path):
     kept, _ = sessions.brackets(batch, ["user_id"], "ts", "event_id")
     want = {(r["user_id"], r["n"], r["members"][0], r["members"][-1]) for r in kept.collect()}
     assert got == want and want
+
+
+def test_replacement_that_stops_leaves_a_whole_table(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    rows = lambda *x: spark.createDataFrame([(i,) for i in x], "v int")
+    read = lambda: sorted(r["v"] for r in store.read("t", "v int").collect())
+    store.replace("t", rows(1, 2))
+    store.replace("t", store.read("t", "v int").filter("v > 1"))
+    assert read() == [2]
+    move = store._move
+    for stop in (0, 1):
+        left = [stop]
+
+        def breaking(a, b):
+            if not left[0]:
+                raise OSError("stopped")
+            left[0] -= 1
+            move(a, b)
+
+        store._move = breaking
+        with pytest.raises(OSError):
+            store.replace("t", rows(7))
+        store._move = move
+        assert read() == [2]
+    store.replace("t", rows(7, 8))
+    assert read() == [7, 8]

@@ -302,3 +302,89 @@ def test_replacing_and_equalising():
     flat = np.repeat(np.arange(100, 140, dtype=np.uint8)[None], 64, 0)
     wide = kernels.equalize(flat, 4.0)
     assert wide.shape == flat.shape and np.ptp(wide) > np.ptp(flat)
+
+
+def test_exterior_score_reads_the_top_regions_edges(spark):
+    record = dict.fromkeys(scoring.FEATURES, 0.0) | {"sky_area_frac": 0.3, "sky_top_coverage": 0.9, "sky_below_ratio": 1.2}
+    rows = [(1, record | {"edge_density": 0.5}), (2, record | {"sky_edge_density": 0.5}), (3, record | {"sky_colour_support": 0.4, "green_bottom_frac": 0.3})]
+    df = spark.createDataFrame([(k, *r.values()) for k, r in rows], ["id", *scoring.FEATURES])
+    got = {r["id"]: r["exterior"] for r in scoring.classify(df).collect()}
+    # A busy image leaves a smooth sky alone; edges inside the region cost 0.55 of the quality.
+    assert got[1] == pytest.approx(0.8) and got[2] == pytest.approx(0.8 * (0.4 + 0.6 * 0.45))
+    assert got[3] == pytest.approx(0.8 + 0.1 * 0.4 + 0.1)
+
+
+def test_inscribed_rectangle_against_a_grid():
+    rng = np.random.default_rng(4)
+    for _ in range(5):
+        quad = np.array([[0, 0], [6, 0], [6, 4], [0, 4]], float) + rng.uniform(-0.8, 0.8, (4, 2))
+        x, y, half = kernels.inscribed_rectangle(quad, 1.5)
+        along = np.roll(quad, -1, 0) - quad
+
+        def inside(px, py):
+            return (along[:, 0] * (py - quad[:, 1]) - along[:, 1] * (px - quad[:, 0]) >= -1e-5).all()
+
+        corners = [(sx, sy) for sx in (-1, 1) for sy in (-1, 1)]
+        fits = lambda cx, cy, a: all(inside(cx + sx * a, cy + sy * a / 1.5) for sx, sy in corners)
+        assert fits(x, y, half)
+        assert not any(fits(cx, cy, half + 0.02) for cx in np.linspace(0, 6, 61) for cy in np.linspace(0, 4, 41))
+    assert kernels.inscribed_rectangle(np.array([[0, 0], [4, 0], [2, 3]], float), 1.0)[2] > 0
+
+
+def test_rotation_turns_no_further_than_needed():
+    for point in ([100.0, 1000.0, 0.0], [-30.0, -900.0, 0.2], [0.0, 500.0, 0.0], [400.0, 1.0, 1.0]):
+        rotation, degrees = kernels.rotation_to_vertical(np.array(point), 800.0)
+        d = np.array(point) / (800.0, 800.0, 1.0)
+        d /= np.linalg.norm(d) * (-1 if d[1] < 0 else 1)
+        assert np.allclose(rotation @ d, [0, 1, 0]) and np.linalg.det(rotation) == pytest.approx(1.0)
+        assert np.degrees(np.arccos((np.trace(rotation) - 1) / 2)) == pytest.approx(degrees, abs=1e-5)
+        assert degrees == pytest.approx(np.degrees(np.arccos(d[1])), abs=1e-5)
+
+
+def test_tiles_in_both_forms(spark):
+    for n in (64, 144, 168, 192):
+        made = geometry.tiles(n, 96, 24)
+        (starts,) = spark.range(1).select(geometry.tile_starts(F.lit(n), 96, 24)).first()
+        assert starts == [a for a, _, _ in made] and made[-1][1] == n
+        for a, b, w in made:
+            (column,) = spark.range(1).select(geometry.feather(b - a, 24, F.lit(a > 0), F.lit(b < n))).first()
+            assert np.allclose(column, w)
+
+
+def test_whole_images_row_by_row(spark):
+    rng = np.random.default_rng(2)
+    h, w = 12, 16
+    a, b, m = rng.integers(0, 256, (3, h, w, 3)), rng.integers(0, 256, (3, h, w, 3)), rng.integers(0, 256, (3, h, w))
+    m[0], m[1] = 0, 255
+    rows = [(i, h, w, a[i].ravel().tolist(), b[i].ravel().tolist(), m[i].ravel().tolist()) for i in range(3)]
+    df = spark.createDataFrame(rows, "id int, h int, w int, image array<int>, fill array<int>, probability array<int>")
+    got = {r["id"]: np.array(r["image"]).reshape(h, w, 3) for r in images.composited(df).collect()}
+    assert (got[0] == a[0]).all() and (got[1] == b[1]).all()
+    assert (got[2] == kernels.replace_region(a[2].astype(np.uint8), b[2].astype(np.uint8), m[2].astype(np.uint8))).all()
+    gray = images.equalized(df.select("id", "h", "w", "probability"), "probability").collect()
+    assert all((np.array(r["probability"]) == kernels.equalize(m[r["id"]].astype(np.uint8)).ravel()).all() for r in gray)
+    shade = images.predicted(df, lambda pdf: [float(np.mean(x)) for x in pdf["image"]], "shade", "double").collect()
+    assert [r["shade"] for r in sorted(shade, key=lambda r: r["id"])] == pytest.approx([x.mean() for x in a])
+    pairs = df.select("id", "h", "w", "image", F.col("probability").alias("mask"))
+    flipped = images.transformed(pairs, lambda x, y: (x[:, ::-1], y[:, ::-1])).collect()
+    assert all((np.array(r["mask"]).reshape(h, w) == m[r["id"]][:, ::-1]).all() for r in flipped)
+    assert all((np.array(r["image"]).reshape(h, w, 3) == a[r["id"]][:, ::-1]).all() for r in flipped)
+
+
+def test_hsv_in_both_forms(spark):
+    rng = np.random.default_rng(5)
+    rgb = np.vstack([rng.integers(0, 256, (200, 3)), [[0, 0, 0], [255, 255, 255], [9, 9, 9], [255, 0, 0], [0, 255, 0], [0, 0, 255]]])
+    df = spark.createDataFrame([tuple(map(int, x)) for x in rgb], "r int, g int, b int")
+    got = df.select("r", "g", "b", *[c.alias(n) for n, c in images.hsv(F.col("r"), F.col("g"), F.col("b")).items()]).collect()
+    want = images.to_hsv(np.array([[r["r"], r["g"], r["b"]] for r in got], np.uint8))
+    assert (np.array([[r["h"], r["s"], r["v"]] for r in got]) == want).all()
+
+
+def test_images_too_clipped_or_too_coloured_are_not_measured(spark):
+    rows = [("a", 50.0, 1.0, 2.0)] * 8 + [("a", 99.0, 60.0, 60.0)] * 2 + [("b", 1.0, 0.0, 0.0)] * 19 + [("b", 40.0, 0.0, 0.0)]
+    rows += [("c", 30.0 + i, 40.0 * i, 0.0) for i in range(10)]
+    df = spark.createDataFrame(rows, "image string, l double, a double, b double")
+    got = {r["image"]: r for r in normalize.measure(df, "image", neutral=0.3).collect()}
+    assert (got["a"]["l"], got["a"]["a"], got["a"]["b"], got["a"]["valid_share"], got["a"]["neutral_share"]) == (50.0, 1.0, 2.0, 0.8, 1.0)
+    assert got["b"]["l"] is None and got["b"]["a"] is None and got["b"]["neutral_share"] == 0.0
+    assert got["c"]["l"] == 34.5 and got["c"]["a"] is None and got["c"]["neutral_share"] < 0.3
