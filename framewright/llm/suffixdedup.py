@@ -13,22 +13,26 @@ segment has no repeats; segments that are equal as a whole (a hash of the span a
 the anchor) repeat in full. Only buckets with several different segments are sorted, and of equal
 segments one stands for all, so a group of copies, however large, adds one segment.
 
-Difference cover. Sorting takes one block of buckets at a time (half a MB or one bucket). Windows are ordered by
-their first v bytes (v a fifth of the length), and ties, which are long in near copies, are not
-compared byte by byte: each has at a distance under v a position of the difference cover whose rank
-among all cover positions of the block, by the length - v bytes that follow, was computed before
-(by doubling from v bytes); the last v bytes complete the window. Segments are laid out so that
-anchors stand at multiples of v; tied windows then have one phase and one cover residue serves,
-which is a cover of the differences that occur (multiples of v). ``window_classes`` takes any
-layout with a full difference cover.
+Difference cover. Sorting takes one block of buckets at a time (half a MB or one bucket), so memory
+is bounded by the block. Suffixes are put in the order of their first ``length`` bytes: first by v
+bytes (v the largest divisor of the length up to 16), by a sort of the bytes themselves. Ties, which
+are long in near copies, are not compared byte by byte: for any two phases modulo v there is a step
+under v that brings both to positions of the difference cover, whose ranks by the length - v bytes
+that follow were computed before, by doubling from v bytes; where those agree too, the last v bytes
+decide. Tied groups are split by a pivot each, all groups at once, into less, equal and greater,
+until each holds equal windows only. Ranks are those of the bytes, so nothing inside a block rests
+on hashes.
 
 A bucket with more than ``most`` different segments is not gathered in a task: it is thinned once
 more by equal stretches of segments, and the windows that are left become rows keyed by prefix,
 what lies between and tail (as fingerprints), counted by a distributed aggregation, which splits
 any group.
 
-Order of v-byte blocks is by 64-bit fingerprint in place of the bytes; equality, which alone
-decides here, is that of the bytes but for collisions of 2^-64.
+Segments and stretches that count as equal as a whole, and windows of large buckets, are equal by
+64-bit fingerprints of their bytes and place.
+
+A text longer than a slice is cut into segments slice by slice, each slice with the bytes that its
+last window needs; segments end there, which changes no window.
 
 Null texts count as empty. Texts shorter than ``length`` hold no window. Repeated rows repeat each
 other's text in full and are removed both. Rows without doc_id keep their text. An empty table
@@ -48,7 +52,7 @@ from pyspark.sql import functions as F
 from framewright.llm.common import materialize, small_batches
 from framewright.llm.textkit import Powers, chunks, join_utf8, mix64, prefix_hash
 
-LENGTH, MOST, BLOCK, STRETCH = 400, 64, 1 << 19, 16
+LENGTH, MOST, BLOCK, STRETCH, SLICE = 400, 64, 1 << 19, 16, 1 << 20
 
 
 def fingerprints(c: np.ndarray, starts: np.ndarray, n, pw: Powers) -> np.ndarray:
@@ -67,13 +71,25 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
+def slices(texts: list, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """(buffer, text offsets, number of the first text, byte of it that the buffer starts at) of
+    ranges of texts, and of slices of a text that is too long to stand in one."""
+    for lo, hi in chunks(texts):
+        if hi - lo == 1 and len(texts[lo] or "") > SLICE:
+            raw = texts[lo].encode("utf-8", "surrogatepass")
+            for a in range(0, len(raw) - length + 1, SLICE):
+                part = np.frombuffer(raw[a : a + SLICE + length - 1] + b" ", np.uint8)
+                yield part, np.array([0, len(part)]), lo, a
+        else:
+            yield *join_utf8(texts[lo:hi]), lo, 0
+
+
 def segments(texts: list, length: int, pw: Powers) -> Iterator[tuple]:
     """For ranges of texts: (text number, anchor hash, first window, windows, offset of the anchor
     from the first window, hash of the whole span) of every segment."""
     k = max(1, length // 4)
     w = length - k + 1
-    for lo, hi in chunks(texts):
-        buf, offsets = join_utf8(texts[lo:hi])
+    for buf, offsets, lo, skipped in slices(texts, length):
         if len(buf) < length:
             continue
         c = prefix_hash(buf, pw)
@@ -94,7 +110,7 @@ def segments(texts: list, length: int, pw: Powers) -> Iterator[tuple]:
         first, a = at[head], anchor[head]
         whole = fingerprints(c, first, size - 1 + length, pw)
         place = (a - first).astype(np.uint64) * np.uint64(1 << 20) + size.astype(np.uint64)
-        yield owner[head] + lo, grams[a], first - offsets[owner[head]], size, a - first, mix64(whole ^ mix64(place))
+        yield owner[head] + lo, grams[a], first - offsets[owner[head]] + skipped, size, a - first, mix64(whole ^ mix64(place))
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -121,77 +137,88 @@ def cover(v: int) -> np.ndarray:
     return np.unique(np.concatenate([np.arange(r), np.arange(r, v + r, r)]) % v)
 
 
+def steps(v: int) -> np.ndarray:
+    """For two phases modulo v, the least step that brings both into the cover."""
+    inside = np.zeros(v, bool)
+    inside[cover(v)] = True
+    at = (np.arange(v)[:, None] + np.arange(v)) % v  # phase, step
+    return (inside[at][:, None, :] & inside[at][None, :, :]).argmax(2)
+
+
 def period(length: int) -> int:
-    """The largest divisor of ``length`` up to its fifth part (1 if there is none)."""
-    return max(d for d in range(1, max(1, length // 5) + 1) if length % d == 0)
+    """The largest divisor of ``length`` up to its fifth part and 16 (1 if there is none)."""
+    return max(d for d in range(1, min(16, max(1, length // 5)) + 1) if length % d == 0)
+
+
+def dense(*keys: np.ndarray) -> np.ndarray:
+    """Ranks from 0 by the keys, the first one leading; equal ranks for equal keys."""
+    by = np.lexsort(keys[::-1])
+    new = np.zeros(len(by), bool)
+    for k in keys:
+        new[1:] |= k[by[1:]] != k[by[:-1]]
+    out = np.empty(len(by), np.int64)
+    out[by] = np.cumsum(new)
+    return out
 
 
-def pair_rank(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Equal numbers for equal pairs."""
-    _, rank = np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)
-    return rank.astype(np.int64)
+def byte_ranks(buf: np.ndarray, v: int) -> np.ndarray:
+    """Rank of every position by the v bytes that begin there (v up to 16)."""
+    n = len(buf) - v + 1
+    keys = []
+    for a in range(0, v, 8):
+        key = np.zeros(n, np.uint64)
+        for j in range(a, min(v, a + 8)):
+            key = (key << np.uint64(8)) | buf[j : j + n]
+        keys.append(key)
+    return dense(*keys)
+
+
+def cover_ranks(first: np.ndarray, v: int, blocks: int) -> np.ndarray:
+    """Rank of every position of the difference cover by the ``blocks`` * v bytes that begin there
+    (-1 elsewhere), doubled from ``first``, the ranks by v bytes. What lies behind the end is least."""
+    where = np.flatnonzero(np.isin(np.arange(len(first)) % v, cover(v)))
+    level, total = np.full(len(first), -1, np.int64), np.full(len(first), -1, np.int64)
+    level[where] = first[where]
+    # Positions of one phase lie v apart, so the next ones are of the cover too.
+    shifted = lambda x, n: np.where(where + n * v < len(x), x[np.minimum(where + n * v, len(x) - 1)], -1)
+    have, done = 1, 0
+    while True:
+        if blocks & have:
+            total[where] = dense(total[where], shifted(level, done)) if done else level[where]
+            done += have
+        if done == blocks:
+            return total
+        level[where] = dense(level[where], shifted(level, have))
+        have *= 2
 
 
-def window_classes(buf: np.ndarray, starts: np.ndarray, length: int, residues: np.ndarray, pw: Powers) -> np.ndarray:
-    """A number for each window (``length`` bytes at each start, all inside buf), equal for equal
-    windows. ``residues`` covers every difference of phases between equal windows."""
+def window_order(buf: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the windows by their ``length`` bytes, whether each in that order differs from the
+    one before). All windows lie inside buf, which goes on for v bytes at least."""
     v = period(length)
-    c = prefix_hash(buf, pw)
-    reach = length - v  # a multiple of v
-    # Ranks of cover positions by the ``reach`` bytes that follow, doubled from v bytes; a phase's
-    # positions lie v apart, so the next ones are of the cover too.
-    rank = np.zeros(len(buf), np.int64)
-    where = [np.arange(r, len(buf) - v + 1, v) for r in residues]
-    where = np.concatenate([x for x in where if len(x)])
-    _, first = np.unique(fingerprints(c, where, v, pw), return_inverse=True)
-    level = np.full(len(buf) + 1, 0, np.int64)
-    level[where] = first + 1
-    need, have = reach // v, 1
-    total, at = np.zeros(len(buf) + 1, np.int64), 0  # rank of the first ``at`` blocks
-    shifted = lambda x, n: np.where(where + n * v < len(buf), x[np.minimum(where + n * v, len(buf))], 0)
+    first = byte_ranks(buf, v)
+    sample, step = cover_ranks(first, v, length // v - 1), steps(v)
+    head, tail, phase = first[starts], first[starts + length - v], starts % v
+    order = np.argsort(head, kind="stable")
+    new = np.append(True, head[order][1:] != head[order][:-1])
+    open_at = np.arange(len(order))  # places in the order whose group is not settled
     while True:
-        if need & have:
-            joined = pair_rank(total[where], shifted(level, at))
-            total[where] = joined + 1
-            at += have
-        if at == need:
-            break
-        level[where] = pair_rank(level[where], shifted(level, have)) + 1
-        have *= 2
-    rank[where] = total[where]
-    head, tail = fingerprints(c, starts, v, pw), fingerprints(c, starts + length - v, v, pw)
-    phase = starts % v
-    inside = np.zeros(v, bool)
-    inside[residues] = True
-    # Ties by first and last v bytes.
-    _, tie = np.unique(mix64(head) + tail, return_inverse=True)
-    tie = tie.astype(np.int64)
-    low, high = np.full(tie.max(initial=0) + 1, v), np.zeros(tie.max(initial=0) + 1, np.int64)
-    np.minimum.at(low, tie, phase)
-    np.maximum.at(high, tie, phase)
-    out = np.zeros(len(starts), np.int64)
-    one = low[tie] == high[tie]
-    step = np.array([next(d for d in range(v + 1) if inside[(p + d) % v]) for p in range(v)])
-    out[one] = pair_rank(tie[one], rank[starts[one] + step[phase[one]]])
-    mixed = np.flatnonzero(~one)
-    if len(mixed):
-        # Windows of several phases: two are equal if at the distance that brings both to the cover
-        # their ranks are; classes are what such equalities connect.
-        label = np.arange(len(mixed))
-        keyed = []
-        for d in range(v):
-            use = np.flatnonzero(inside[(phase[mixed] + d) % v])
-            keyed.append((use, pair_rank(tie[mixed[use]], rank[starts[mixed[use]] + d])))
-        while True:
-            before = label.copy()
-            for use, key in keyed:
-                best = np.full(key.max(initial=0) + 1, len(mixed))
-                np.minimum.at(best, key, label[use])
-                label[use] = np.minimum(label[use], best[key])
-            if (label == before).all():
-                break
-        out[mixed] = out.max(initial=0) + 1 + label
-    return out
+        group = np.cumsum(new[open_at]) - 1
+        size = np.bincount(group)
+        open_at, group = open_at[size[group] > 1], group[size[group] > 1]
+        if not len(open_at):
+            return order, new
+        begin = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        count = np.diff(np.append(begin, len(group)))
+        at = order[open_at]
+        pivot = np.repeat(at[begin + count // 2], count)
+        d = step[phase[at], phase[pivot]]
+        a, b = sample[starts[at] + d], sample[starts[pivot] + d]
+        side = np.where(a != b, np.sign(a - b), np.sign(tail[at] - tail[pivot]))
+        by = np.lexsort((side, np.repeat(np.arange(len(count)), count)))
+        order[open_at], side = at[by], side[by]
+        new[open_at[1:]] |= side[1:] != side[:-1]
+        open_at = open_at[side != 0]
 
 
 def _cut(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
@@ -217,23 +244,19 @@ def _cut(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]
             yield pd.DataFrame(out)
 
 
-def repeats_of(rows: pd.DataFrame, length: int, pw: Powers) -> pd.DataFrame:
+def repeats_of(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     """doc_id, first, size of the runs of windows in these segments that occur twice among them."""
-    v = period(length)
-    parts, starts, at = [], [], 0
-    for size, offset, span in zip(rows["size"], rows["offset"], rows["span"]):
-        gap = -(at + offset) % v  # the anchor stands at a multiple of v
-        parts.append(b"\0" * gap + span)
-        starts.append(at + gap)
-        at += gap + len(span)
+    base = np.cumsum([0, *map(len, rows["span"])])[:-1]
     # Room behind the last window for cover positions a little further on.
-    buf = np.frombuffer(b"".join(parts) + b"\0" * (2 * v), np.uint8)
+    buf = np.frombuffer(b"".join(rows["span"]) + b"\0" * (2 * period(length)), np.uint8)
     size = rows["size"].to_numpy(np.int64)
     row = np.repeat(np.arange(len(rows)), size)
     inner = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-    places = np.array(starts, np.int64)[row] + inner
-    kind = window_classes(buf, places, length, np.zeros(1, np.int64), pw)
-    twice = (np.bincount(kind) > 1)[kind]
+    order, new = window_order(buf, base[row] + inner, length)
+    # A window occurs again if it equals the one before or after it in the order.
+    same = np.append(~new[1:], False) | ~new
+    twice = np.zeros(len(order), bool)
+    twice[order] = same
     return runs(rows, row[twice], inner[twice])
 
 
@@ -249,7 +272,6 @@ def runs(rows: pd.DataFrame, row: np.ndarray, inner: np.ndarray) -> pd.DataFrame
 
 def _sort_blocks(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
     """Batches come sorted by anchor; a block is cut where the anchor changes."""
-    pw = Powers()
     held = None
     for pdf in batches:
         held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
@@ -260,10 +282,10 @@ def _sort_blocks(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.Da
             full = change[ends[change - 1] >= BLOCK]
             if not len(full):
                 break
-            yield repeats_of(held.iloc[: full[0]], length, pw)
+            yield repeats_of(held.iloc[: full[0]], length)
             held = held.iloc[full[0] :].reset_index(drop=True)
     if held is not None and len(held):
-        yield repeats_of(held, length, pw)
+        yield repeats_of(held, length)
 
 
 def _places(rows: pd.DataFrame, pw: Powers) -> tuple:

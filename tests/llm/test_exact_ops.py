@@ -185,20 +185,39 @@ def test_suffix_dedup_matches_brute_force(spark, length, most):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want, i
 
 
-def test_window_classes_with_a_full_difference_cover():
-    rng = random.Random(5)
-    for length in (10, 25, 40):
+def test_windows_are_ordered_by_their_bytes():
+    rng = np.random.default_rng(1)
+    for length in (1, 3, 7, 12, 20, 40, 80, 400):
         v = suffixdedup.period(length)
-        cover = suffixdedup.cover(v)
+        cover = set(suffixdedup.cover(v).tolist())
         assert {(a - b) % v for a in cover for b in cover} == set(range(v))
-        text = bytes(rng.choice(b"ab") for _ in range(300)) + bytes(rng.choice(b"abc") for _ in range(60)) * 4
-        starts = np.arange(len(text) - length + 1)
-        buf = np.frombuffer(text + b"\0" * (2 * v), np.uint8)
-        kinds = suffixdedup.window_classes(buf, starts, length, cover, Powers())
-        by = defaultdict(set)
-        for i, k in zip(starts, kinds):
-            by[text[i : i + length]].add(k)
-        assert all(len(k) == 1 for k in by.values()) and len(set(kinds)) == len(by)
+        for letters in (1, 2, 3):
+            text = rng.integers(97, 97 + letters, 60).astype(np.uint8)
+            text = np.concatenate([text, rng.integers(97, 97 + letters, 50), np.tile(text, 12), text[5:], np.tile(text[:7], 60)]).astype(np.uint8)
+            buf = np.concatenate([text, np.zeros(2 * v, np.uint8)])
+            starts = np.sort(rng.choice(len(text) - length + 1, 250, replace=False))
+            order, new = suffixdedup.window_order(buf, starts, length)
+            windows = [buf[starts[i] : starts[i] + length].tobytes() for i in order]
+            assert windows == sorted(windows) and len(set(order.tolist())) == len(starts)
+            assert new.tolist() == [i == 0 or windows[i] != windows[i - 1] for i in range(len(windows))]
+
+
+def test_suffix_dedup_cuts_long_texts_into_slices(spark, monkeypatch):
+    rng = random.Random(9)
+    words = vocabulary(rng)
+    long = " ".join(rng.choice(words) for _ in range(9000))
+    texts = [long, long[2000:30000] + "#" + long[31000:40000], long[:500] + long, "x" + long[100:700], "é" * 300]
+    monkeypatch.setattr(suffixdedup, "SLICE", 1000)
+    monkeypatch.setattr(suffixdedup, "chunks", lambda texts: ((i, i + 1) for i in range(len(texts))))
+    # Slices are made in the tasks, so the split is compared here and the whole in the query's test.
+    pw = Powers()
+    cut = {(o, f + i, a) for o, a, f, n, *_ in map_rows(suffixdedup.segments(texts, 40, pw)) for i in range(n)}
+    monkeypatch.setattr(suffixdedup, "SLICE", 1 << 20)
+    assert cut == {(o, f + i, a) for o, a, f, n, *_ in map_rows(suffixdedup.segments(texts, 40, pw)) for i in range(n)}
+
+
+def map_rows(parts):
+    return (row for part in parts for row in zip(*(x.tolist() for x in part)))
 
 
 # ---------------------------------------------------------------- Jaccard
