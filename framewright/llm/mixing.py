@@ -11,8 +11,9 @@ Quotas: sources in code-point order, null last, get repeating weights; they shar
 the excess is shared again by weight until none is above.
 
 What meets on the driver is one row per pattern, whatever their number: its memory is the limit.
-Every document counts for all of its sources. More than ``max_patterns`` patterns that share
-sources are routed on arrays with the same optimum (``route_arrays``); tables of more than
+Every document counts for all of its sources, and every pattern, one of a single source too, is
+part of the network. Up to ``max_patterns`` patterns are routed edge by edge (``Flow``), more on
+arrays with the same optimum (``route_arrays``); tables of more than
 ``max_sources`` patterns are not broadcast. The seeded order is that of
 an md5 of seed and doc_id. The place where a pattern's remainder ends is found by three rounds of
 sums over 256 hash ranges, each inside the range that the round before has found, so no task ever
@@ -26,7 +27,7 @@ last document taken may be taken in part, so a source's words meet its quota to
 from __future__ import annotations
 
 import heapq
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -37,6 +38,7 @@ from framewright.llm.common import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 DIGITS, ROUNDS = 2, 3
+MOST_EDGES = 256  # patterns that are routed edge by edge
 
 
 def fill(sizes: dict, weights: dict, share: float, repeats: int) -> dict:
@@ -144,8 +146,14 @@ def route_arrays(patterns: dict, quotas: dict, repeats: int) -> dict:
             out.append(int(np.bincount(s, weights=held[p] * (far[s] == k)).argmax()))
         return out
 
+    # Patterns of one source have a path of their own: all of these carry at once.
+    alone = np.flatnonzero(np.bincount(p, minlength=len(sets))[p] == 1)
     for _ in range(repeats):
         spare += words
+        most = np.minimum(spare[p[alone]], room[s[alone]])
+        flow[alone] += most
+        spare[p[alone]] -= most
+        room[s[alone]] -= most
         while way := path():
             first = slice(at[way[0]], at[way[0] + 1])
             moves = []
@@ -164,24 +172,26 @@ def route_arrays(patterns: dict, quotas: dict, repeats: int) -> dict:
     return dict(zip(sets, (words * repeats - spare).tolist()))
 
 
-def route(patterns: dict, quotas: dict, repeats: int, max_patterns: int = 10_000) -> dict:
-    """Words that each pattern gives. patterns: tuple of sources -> words; quotas: source -> words.
-    A source whose only pattern is its own is no part of the network: its flow is its quota."""
+def network(patterns: dict, quotas: dict, repeats: int) -> tuple[Flow, dict]:
+    """The network, and for each pattern its edges (number, words) by repetition."""
     flow, gives = Flow(), defaultdict(list)
-    times = Counter(s for m in patterns for s in m)
-    alone = {m: min(quotas[m[0]], repeats * n) for m, n in patterns.items() if len(m) == 1 and times[m[0]] == 1}
-    shared = {m: n for m, n in patterns.items() if m not in alone}
-    if len(shared) > max_patterns:
-        return alone | route_arrays(shared, quotas, repeats)
-    for k, (members, words) in enumerate(sorted(shared.items(), key=lambda x: repr(x[0]))):
+    for k, (members, words) in enumerate(sorted(patterns.items(), key=lambda x: repr(x[0]))):
         for copy in range(repeats):
             gives[members].append((flow.edge("start", ("p", k), words, copy), words))
         for s in members:
             flow.edge(("p", k), ("s", s), repeats * words, 0)
-    for s in sorted({s for m in shared for s in m}, key=repr):
+    for s in sorted({s for m in patterns for s in m}, key=repr):
         flow.edge(("s", s), "end", quotas[s], 0)
+    return flow, gives
+
+
+def route(patterns: dict, quotas: dict, repeats: int, max_patterns: int = MOST_EDGES) -> dict:
+    """Words that each pattern gives. patterns: tuple of sources -> words; quotas: source -> words."""
+    if len(patterns) > max_patterns:
+        return route_arrays(patterns, quotas, repeats)
+    flow, gives = network(patterns, quotas, repeats)
     flow.run("start", "end")
-    return alone | {m: sum(words - flow.edges[i][1] for i, words in each) for m, each in gives.items()}
+    return {m: sum(words - flow.edges[i][1] for i, words in each) for m, each in gives.items()}
 
 
 def mix(
@@ -191,7 +201,7 @@ def mix(
     share: float = 1.5,
     repeats: int = 2,
     seed: int = 0,
-    max_patterns: int = 10_000,
+    max_patterns: int = MOST_EDGES,
     max_sources: int = 100_000,
 ) -> DataFrame:
     """doc_id, size, source_size, target, taken. ``members`` names an array column with a
