@@ -11,27 +11,33 @@ makes the first block stop early too. How much is left out depends on the data:
 evenly over a sphere of many dimensions leave nearly all to be scored, clusters leave few.
 
 Pivots are chosen farthest-first from a bounded sample. The query set (a stated share of the
-rows) is dealt into blocks of at most ``block`` queries; one block at a time is sent to the
-tasks, each block against all rows. Every task returns its k best for each query; those meet in
-an aggregation over the query's key.
-
-Vectors that are null, empty, or hold a null or a component that is not finite take no part, nor
-do those of another length than most of the pivot sample. Components are taken as |64 x| < 2**23 (sums then are exact in doubles).
-Equal scores go to the smaller vec_id, repeated vectors are candidates each. With fewer than k
-candidates all are returned. Empty tables give empty results.
+rows) is dealt into blocks of about ``block`` queries. The blocks run in turn, each against all
+rows: the driver reads one block, sends it to the tasks, stores its results and drops it, so
+neither driver nor tasks ever hold more than one block. Every task returns its k best for each
+query; those meet in an aggregation over the query's key.
+
+Vectors that are null or hold a null or a component that is not finite take no part. All others
+do; an inner product needs equal lengths, so each length that occurs is searched by itself. Scores are exact: while the greatest squared
+length is under 2**53, products are taken in doubles, else in 64-bit integers; a table on
+which a score might exceed 64 bits is refused. Equal scores go to the smaller vec_id, repeated
+vectors are candidates each; vec_id names one row. With fewer than k candidates all are returned.
+Empty tables give empty results. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.llm.common import materialize
+
 SCALE = 64
+CELLS = 1 << 20  # components of candidates that a task holds at a time
 
 
 def valid(df: DataFrame) -> DataFrame:
@@ -40,12 +46,13 @@ def valid(df: DataFrame) -> DataFrame:
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     return (
         df.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
-        .filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", bad))
+        .filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", bad))
     )
 
 
-def quantized(rows) -> np.ndarray:
-    return np.floor(SCALE * np.stack(rows)).astype(np.float64)
+def quantized(rows, dim: int) -> np.ndarray:
+    """floor(64 x) as doubles, which hold it without error."""
+    return np.floor(SCALE * np.array(rows, np.float64).reshape(len(rows), dim))
 
 
 def distances(a: np.ndarray, a2: np.ndarray, b: np.ndarray, b2: np.ndarray) -> np.ndarray:
@@ -79,7 +86,8 @@ class Pivots:
 
 
 def search_block(q_ids, q, start, ids, c, pivots: Pivots, k: int, group: int = 64, strip: int = 2048):
-    """Each query's k best of one block of candidates. start: a score that k candidates reach.
+    """Each query's k best of one block of candidates. start: a score that k candidates reach; its
+    type, double or 64-bit integer, is that of all scores.
 
     Queries go in groups of near ones, so that one order of candidates by their bound serves a
     group, and strips of that order are scored by one matrix product."""
@@ -88,8 +96,9 @@ def search_block(q_ids, q, start, ids, c, pivots: Pivots, k: int, group: int = 6
     q2 = (q * q).sum(1)
     # Room for rounding in the bounds, relative to the lengths at hand.
     slack = 1e-3 + 1e-5 * float(np.sqrt(pivots.top + q2.max(initial=0)))
-    reach_of = lambda j, score: np.sqrt(np.maximum(0.0, q2[j] + pivots.top - 2 * score)) + slack
+    reach_of = lambda j, score: np.sqrt(np.maximum(0.0, q2[j] + pivots.top - 2.0 * score)) + slack
     near = np.lexsort((columns.min(1), columns.argmin(1)))
+    q, c = q.astype(start.dtype), c.astype(start.dtype)
     out: list = []
     for a in range(0, len(q), group):
         j = near[a : a + group]
@@ -100,7 +109,7 @@ def search_block(q_ids, q, start, ids, c, pivots: Pivots, k: int, group: int = 6
         order = np.argsort(least, kind="stable")
         kth = start[j].copy()
         reach = reach_of(j, kth)
-        best = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        best = (np.zeros(0, np.int64), np.zeros(0, start.dtype), np.zeros(0, np.int64))
         for b in range(0, len(c), strip):
             at = order[b : b + strip]
             if least[at[0]] > reach.max():
@@ -136,62 +145,75 @@ def _search(batches: Iterator[pd.DataFrame], shared, k: int) -> Iterator[pd.Data
         return pd.DataFrame({"query_id": a, "vec_id": b, "score": s})
 
     for pdf in batches:
-        ok = pdf["v"].map(len).to_numpy() == dim
-        if ok.any():
-            held.append((pdf["vec_id"].to_numpy()[ok], quantized(pdf["v"][ok].to_list())))
-            count += int(ok.sum())
-        if count >= 16384:  # a few MB of vectors at a time
-            yield run(held)
-            held, count = [], 0
+        most = max(1, CELLS // max(1, dim))  # a few MB of vectors at a time
+        for a in range(0, len(pdf), most):
+            part = pdf.iloc[a : a + most]
+            held.append((part["vec_id"].to_numpy(), quantized(part["v"].to_list(), dim)))
+            count += len(part)
+            if count >= most:
+                yield run(held)
+                held, count = [], 0
     if held:
         yield run(held)
 
 
 def search(
-    vectors: DataFrame, is_query: Column, k: int = 20, pivots: int = 16, sample: int = 2048, block: int = 4096
+    vectors: DataFrame, is_query: Column, k: int = 20, pivots: int = 32, sample: int = 2048, block: int = 4096
 ) -> DataFrame:
     """query_id, rank, vec_id, score over the rows of ``vectors`` (vec_id, embedding)."""
-    spark = vectors.sparkSession
     rows = valid(vectors)
+    floors = F.transform("v", lambda x: F.floor(x * SCALE).cast("double"))
+    facts = rows.groupBy(F.size("v").alias("dim")).agg(
+        F.max(F.aggregate(floors, F.lit(0.0), lambda s, x: s + x * x)).alias("top"),
+        F.count(F.when(is_query, 1)).alias("n"),
+    )
+    out = [
+        found
+        for f in sorted(facts.filter("n > 0").collect())
+        for found in _search_length(rows.filter(F.size("v") == f["dim"]), is_query, f, k, pivots, sample, block)
+    ]
+    if not out:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return reduce(DataFrame.unionByName, out)
+
+
+def _search_length(rows: DataFrame, is_query: Column, facts, k: int, pivots: int, sample: int, block: int) -> list[DataFrame]:
+    """The results of each block of queries among vectors of one length."""
+    spark, dim, most = rows.sparkSession, facts["dim"], facts["top"]  # no partial sum exceeds the greatest square
+    if most >= 2.0**63:
+        raise ValueError("scores of these vectors may exceed 64 bits")
+    kind = np.float64 if most < 2.0**53 else np.int64
+    none = -np.inf if kind is np.float64 else np.iinfo(np.int64).min
     drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if not drawn:
-        return empty
-    dim = Counter(len(r["v"]) for r in drawn).most_common(1)[0][0]
-    rows = rows.filter(F.size("v") == dim)
-    ground = quantized([r["v"] for r in drawn if len(r["v"]) == dim])
-    ground_ids = np.array([r["vec_id"] for r in drawn if len(r["v"]) == dim])
-    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + F.floor(x * SCALE).cast("double") * F.floor(x * SCALE).cast("double"))
-    facts = rows.agg(F.max(square).alias("top"), F.count(F.when(is_query, 1)).alias("n")).first()
+    ground, ground_ids = quantized([r["v"] for r in drawn], dim), np.array([r["vec_id"] for r in drawn])
     table = Pivots(ground, float(facts["top"]), pivots)
     n_blocks = -(-int(facts["n"]) * 5 // (4 * block)) if facts["n"] > block else 1
-    out = None
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    out = []
     for b in range(n_blocks):
         mine = rows.filter(is_query & (F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_blocks)) == b)).collect()
         if not mine:
             continue
-        q_ids = np.array([r["vec_id"] for r in mine])
-        q = quantized([r["v"] for r in mine])
+        q_ids, q = np.array([r["vec_id"] for r in mine]), quantized([r["v"] for r in mine], dim)
         # The k-th best score in the sample: at least k candidates reach it.
-        start = np.full(len(q), -np.inf)
+        start = np.full(len(q), none, kind)
         if len(ground) > k:
             for a in range(0, len(q), 256):
-                s = q[a : a + 256] @ ground.T
-                s[q_ids[a : a + 256, None] == ground_ids[None, :]] = -np.inf
+                s = q[a : a + 256].astype(kind) @ ground.T.astype(kind)
+                s[q_ids[a : a + 256, None] == ground_ids[None, :]] = none
                 start[a : a + 256] = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
         shared = spark.sparkContext.broadcast((q_ids, q, start, table, dim))
-        part = rows.mapInPandas(
-            lambda it, shared=shared: _search(it, shared, k), "query_id long, vec_id long, score long"
+        found = (
+            rows.mapInPandas(lambda it, shared=shared: _search(it, shared, k), "query_id long, vec_id long, score long")
+            .withColumn("rank", F.row_number().over(order))
+            .filter(F.col("rank") <= k)
+            .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
         )
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return empty
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        out.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-        .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-    )
+        if n_blocks > 1:
+            found = materialize(found, "nearest")
+            shared.destroy()
+        out.append(found)
+    return out
 
 
 def op9_topk_search(spark, sf_dir: str) -> DataFrame:
