@@ -10,7 +10,8 @@ over the text's n-grams, so a whole text of any length is scored by table lookup
 
 Training takes at most ``per_language`` labelled rows of each language and ``most`` in all (a
 documented bound on the fit; every row is scored), chosen by a hash of doc_id at a rate that
-follows from the language's row count. Only text and lang of rows that ``learn`` admits are used;
+follows from the language's row count. Executors return the n-gram frequencies of those rows, at
+most 2**14 numbers each, not their texts. Texts of any length are worked through in slices. Only text and lang of rows that ``learn`` admits are used;
 rows without lang teach nothing.
 
 A text that is null or holds no letter gets ``und`` and score 0. Repeated rows get equal results.
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.common import crc_mod
-from framewright.llm.textkit import chunks
+from framewright.llm.textkit import SLICE, chunks
 
 UNKNOWN = "und"
 #: Families of closely related languages; a language not named here is a family of its own.
@@ -51,26 +52,28 @@ def family_of(lang: str) -> str:
 def ngrams(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashed n-grams of all texts, three rows by length; the text each belongs to; whether a
     text has a letter). Anything but letters acts as one blank."""
-    joined = " ".join((t or "").lower() for t in texts) + "   "
-    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    low = [(t or "").lower() for t in texts]
+    # Blanks follow each text, so that no n-gram reaches into the next one.
+    code = np.frombuffer("".join(t + "   " for t in low).encode("utf-32-le", "surrogatepass") + b"\0" * 8, np.uint32)
     top = int(code.max(initial=0)) + 1
     kinds = np.unique(code)
     is_letter = np.zeros(top, bool)
     is_letter[[k for k in kinds.tolist() if chr(k).isalpha()]] = True
     letter = is_letter[code]
     code = np.where(letter, code, np.uint32(32))
-    lengths = np.array([len((t or "").lower()) + 1 for t in texts], np.int64)
-    ends = np.cumsum(lengths)
-    owner = np.repeat(np.arange(len(texts)), lengths)
-    n = len(owner)
-    has = np.bincount(owner, weights=letter[:n], minlength=len(texts)) > 0
-    a, b, c = code[:n], code[1 : n + 1], code[2 : n + 2]
+    lengths = np.array([len(t) for t in low], np.int64)
+    owner = np.repeat(np.arange(len(low)), lengths + 3)
+    first = np.cumsum(lengths + 3) - lengths - 3
+    at = np.flatnonzero(np.arange(len(owner)) - first[owner] <= lengths[owner])
+    owner = owner[at]
+    has = np.bincount(owner, weights=letter[at], minlength=len(low)) > 0
+    a, b, c = code[at], code[at + 1], code[at + 2]
     one = a * _M1
     two = one ^ (b * _M2)
     three = two ^ (c * _M3)
     shift = np.uint32(32 - BITS)
     mix = lambda x: ((x ^ (x >> np.uint32(15))) * _M2) >> shift
-    return np.stack([mix(one), mix(two ^ np.uint32(1)), mix(three ^ np.uint32(2))]), owner, has & (ends > 0)
+    return np.stack([mix(one), mix(two ^ np.uint32(1)), mix(three ^ np.uint32(2))]), owner, has
 
 
 def means(grams: np.ndarray, owner: np.ndarray, n: int, weights: np.ndarray) -> np.ndarray:
@@ -84,13 +87,33 @@ def means(grams: np.ndarray, owner: np.ndarray, n: int, weights: np.ndarray) ->
     return out / count
 
 
-def features(texts: list) -> np.ndarray:
-    """Dense n-gram frequencies as float32, one row for each text."""
-    out = np.zeros((len(texts), 1 << BITS), np.float32)
-    for i, t in enumerate(texts):
-        grams, owner, _ = ngrams([t])
-        out[i] = np.bincount(grams.ravel(), minlength=1 << BITS) / max(1, len(owner))
-    return out
+def in_slices(text: str | None) -> Iterator[tuple[np.ndarray, bool]]:
+    """``ngrams`` of one text, slice by slice: the n-grams that begin in the slice, whether it has
+    a letter."""
+    low = (text or "").lower()
+    for a in range(0, max(1, len(low)), SLICE):
+        grams, _, has = ngrams([low[a : a + SLICE + 2]])  # n-grams reach two characters on
+        yield grams if a + SLICE >= len(low) else grams[:, :SLICE], bool(has[0])
+
+
+def frequencies(text: str | None) -> tuple[np.ndarray, bool]:
+    """n-gram frequencies of a text, and whether it has a letter."""
+    total, n, any_letter = np.zeros(1 << BITS, np.int64), 0, False
+    for grams, has in in_slices(text):
+        total += np.bincount(grams.ravel(), minlength=1 << BITS)
+        n, any_letter = n + grams.shape[1], any_letter | has
+    return (total / max(1, n)).astype(np.float32), any_letter
+
+
+def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """doc_id, lang, the n-grams that occur and their frequencies, of texts with a letter."""
+    for pdf in batches:
+        for a in range(0, len(pdf), 64):
+            part = pdf.iloc[a : a + 64]
+            made = [frequencies(t) for t in part["text"]]
+            found = [np.flatnonzero(x) for x, _ in made]
+            rows = part[["doc_id", "lang"]].assign(at=found, freq=[x[i] for (x, _), i in zip(made, found)])
+            yield rows[[has for _, has in made]]
 
 
 def train_svm(x: np.ndarray, y: np.ndarray, epochs: int = 60, reg: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -110,7 +133,8 @@ def train_svm(x: np.ndarray, y: np.ndarray, epochs: int = 60, reg: float = 1e-4)
 class Model:
     """The machines' weights over n-gram frequencies, scaled so that margins near 1 are sure."""
 
-    def __init__(self, texts: list[str], langs: list[str]) -> None:
+    def __init__(self, x: np.ndarray, langs: list[str]) -> None:
+        """x: a row of n-gram frequencies for each of langs."""
         self.langs = sorted(set(langs))
         family = [family_of(x) for x in langs]
         self.families = sorted(set(family))
@@ -119,7 +143,7 @@ class Model:
         self.weights, self.bias = np.zeros((1 << BITS, 0), np.float32), np.zeros(0)
         if len(self.langs) < 2:
             return
-        x = features(texts)
+        x = x.astype(np.float32)
         # Rare n-grams gain weight, and a typical row gets length 1.
         scale = 1 / np.sqrt(np.maximum(np.einsum("ij,ij->j", x, x) / len(x), 1e-6))
         x *= scale
@@ -141,8 +165,16 @@ class Model:
         n = len(texts)
         if not self.langs:
             return [UNKNOWN] * n, np.zeros(n)
-        grams, owner, has = ngrams(texts)
-        raw = means(grams, owner, n, self.weights)
+        if n == 1 and len(texts[0] or "") > SLICE:
+            total, count, letter = 0.0, 0, False
+            for grams, any_letter in in_slices(texts[0]):
+                k = grams.shape[1]
+                total = total + k * means(grams, np.zeros(k, np.int64), 1, self.weights)
+                count, letter = count + k, letter | any_letter
+            raw, has = total / max(1, count), np.array([letter])
+        else:
+            grams, owner, has = ngrams(texts)
+            raw = means(grams, owner, n, self.weights)
         margin = raw + self.bias if raw.size else raw
         nf = len(self.families) if len(self.families) > 1 else 0
         best = margin[:, :nf].argmax(1) if nf else np.zeros(n, int)
@@ -175,20 +207,26 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 250, most: int = 200
     rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
-        return Model([], [])
+        return Model(np.zeros((0, 1 << BITS)), [])
     unit, per_language = 1 << 20, max(1, min(per_language, most // len(counts)))
     draw = F.pmod(F.xxhash64(F.lit(7), F.col("doc_id")), F.lit(unit))
     keep = F.lit(False)
     for lang, n in counts.items():
         keep = keep | ((F.col("lang") == lang) & (draw < int(min(1.0, 1.2 * per_language / n + 1e-6) * unit) + 1))
-    sample = rows.filter(keep).select("doc_id", "lang", "text").collect()
-    texts, langs, had = [], [], dict.fromkeys(counts, 0)
+    ident = docs.schema["doc_id"].dataType.simpleString()
+    sample = (
+        rows.filter(keep).select("doc_id", "lang", "text")
+        .mapInPandas(_frequencies, f"doc_id {ident}, lang string, at array<int>, freq array<float>")
+        .collect()
+    )
+    x, langs, had = [], [], dict.fromkeys(counts, 0)
     for r in sorted(sample, key=lambda r: (r["doc_id"] is None, r["doc_id"])):
-        if had[r["lang"]] < per_language and any(map(str.isalpha, r["text"])):
+        if had[r["lang"]] < per_language:
             had[r["lang"]] += 1
-            texts.append(r["text"])
             langs.append(r["lang"])
-    return Model(texts, langs)
+            x.append(np.zeros(1 << BITS, np.float32))
+            x[-1][r["at"]] = r["freq"]
+    return Model(np.array(x).reshape(len(langs), 1 << BITS), langs)
 
 
 def _score(batches: Iterator[pd.DataFrame], shared, lang: str, score: str) -> Iterator[pd.DataFrame]:
@@ -217,7 +255,8 @@ def identify(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str
 
 
 def reject(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """``docs`` without texts of no language (``und``) or with a score under ``least``."""
+    """``docs`` without texts of no language (``und``) and without those whose score is under
+    ``least``: no learned language fits them."""
     found = identify(docs, fit(docs, learn_rule()), "_fw_lang", "_fw_score")
     return found.filter((F.col("_fw_lang") != UNKNOWN) & (F.col("_fw_score") >= least)).select(*docs.columns)
 

@@ -1,7 +1,8 @@
 """Byte-level text primitives on numpy: word spans, word hashes, shingles, rolling hashes.
 
 All of them work on one uint8 buffer that holds many texts, so the cost per byte is
-a few vector operations and no Python loop runs over words.
+a few vector operations and no Python loop runs over words. A text much longer than a buffer is
+worked through in slices, so beside the text itself its words' hashes are the largest thing held.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import numpy as np
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+#: Characters of a text that are worked on at a time.
+SLICE = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -91,12 +94,38 @@ def word_hashes(buf: np.ndarray, offsets: np.ndarray, pw: Powers) -> tuple[np.nd
     return words, np.searchsorted(starts, offsets)
 
 
+def long_word_hashes(text: str, pw: Powers, slice_chars: int = SLICE) -> np.ndarray:
+    """``word_hashes`` of one text of any length, slice by slice; a word that a slice cuts is
+    carried on into the next."""
+    out, open_hash, open_bytes = [np.zeros(0, np.uint64)], np.zeros(1, np.uint64), 0
+    for a in range(0, len(text), slice_chars):
+        buf = np.frombuffer(text[a : a + slice_chars].encode("utf-8", "surrogatepass"), np.uint8)
+        edge = np.diff(_SPACE[buf].view(np.int8), prepend=np.int8(1), append=np.int8(1))
+        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        c = prefix_hash(_LOWER[buf], pw)
+        sums = (c[ends] - c[starts]) * pw.of(len(buf) + 1)[1][starts]
+        sizes = ends - starts
+        if open_bytes and _SPACE[buf[0]]:
+            out.append(mix64(open_hash))
+        elif open_bytes:
+            sums[:1] = sums[:1] * np.uint64(pow(BASE, open_bytes, 1 << 64)) + open_hash
+            sizes[0] += open_bytes
+        open_bytes = 0
+        if not _SPACE[buf[-1]]:
+            open_hash, open_bytes, sums = sums[-1:], int(sizes[-1]), sums[:-1]
+        out.append(mix64(sums))
+    return np.concatenate([*out, mix64(open_hash)] if open_bytes else out)
+
+
 def shingles(texts: list, size: int, pw: Powers) -> Iterator[np.ndarray]:
     """The sorted distinct ``size``-word shingle hashes of each text; a shorter text has one
     shingle, its whole word sequence; a text without words has none."""
     for lo, hi in chunks(texts):
-        buf, offsets = join_utf8(texts[lo:hi])
-        words, first = word_hashes(buf, offsets, pw)
+        if hi - lo == 1 and len(texts[lo] or "") > SLICE:
+            words = long_word_hashes(texts[lo], pw)
+            first = np.array([0, len(words)])
+        else:
+            words, first = word_hashes(*join_utf8(texts[lo:hi]), pw)
         up, _ = pw.of(size + 2)
         run = np.zeros(max(0, len(words) - size + 1), np.uint64)
         for j in range(size):
