@@ -6,10 +6,13 @@ without looking at earlier data: an insert adds its counts, a delete takes them
 does both (also across versions). Sums are additive, so totals are the sum of all batches' deltas
 in any order.
 
-Store: ``<path>/deltas/batch=<id>`` holds a batch's deltas (one row for each key that it moves),
-``<path>/commits/<id>`` marks it committed, written last. A batch that is committed already is
-skipped; one whose write broke off is written anew over its remains; so a batch may be delivered
-any number of times and counts once. ``compact`` folds committed deltas into one.
+Store: every write goes to a folder of its own, ``<path>/deltas/batch=<id>/<attempt>`` (one row for
+each key that the batch moves), and is committed by the file ``<path>/commits/<id>``, made last and
+only if absent, which names that folder. A batch that is committed already is skipped; of a write
+that broke off nothing is read; so a batch may be delivered any number of times, at once too, and
+counts once. ``compact`` folds committed deltas into one: its commit file also names the batches
+that it replaces, which no reader counts from then on, and their folders go only after that. At
+whatever step a fold stops, totals stay whole, and calling it again ends what was left.
 
 Deltas and totals are as many as the keys, whatever the corpus. Hot sources cost nothing: rows are
 summed in the tasks that read them.
@@ -22,6 +25,7 @@ Keys whose documents are all gone stay out of ``totals``. Extra columns are igno
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -111,24 +115,57 @@ class TokenRollup:
         self._Path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def committed(self) -> list[str]:
+    def _mark(self, batch_id: str) -> list[str] | None:
+        """[folder of its deltas, batches it replaces ...] of a committed batch, else None."""
+        at = self._Path(f"{self.path}/commits/{batch_id}")
+        if not self._fs.exists(at) or not self._fs.getFileStatus(at).getLen():
+            return None  # an empty mark is one whose write broke off
+        stream = self._fs.open(at)
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("\n")
+        finally:
+            stream.close()
+
+    def _commit(self, batch_id: str, folder: str, replaced: list[str]) -> bool:
+        """Make the mark, all of it at once; False if the batch has one."""
+        at = self._Path(f"{self.path}/commits/{batch_id}")
+        try:
+            stream = self._fs.create(at, self._mark(batch_id) is None and self._fs.exists(at))
+        except Exception:
+            if self._mark(batch_id) is None:
+                raise
+            return False
+        stream.write(bytearray("\n".join([folder, *replaced]).encode()))
+        stream.close()
+        return True
+
+    def marks(self) -> dict[str, list[str]]:
         at = self._Path(f"{self.path}/commits")
-        if not self._fs.exists(at):
-            return []
-        return sorted(str(s.getPath().getName()) for s in self._fs.listStatus(at))
+        names = sorted(str(s.getPath().getName()) for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
+        return {n: m for n in names if not n.startswith((".", "_")) and (m := self._mark(n)) is not None}
+
+    def committed(self) -> list[str]:
+        return list(self.marks())
+
+    def _write(self, batch_id: str, rows: DataFrame) -> str:
+        folder = f"batch={batch_id}/{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/deltas/{folder}")
+        return folder
 
     def apply(self, batch_id: str, changes: DataFrame) -> bool:
         """Commit a batch; False if it was committed before."""
-        if batch_id in self.committed():
+        if self._mark(batch_id) is not None:
             return False
-        deltas(changes).write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch_id}")
-        self._fs.mkdirs(self._Path(f"{self.path}/commits/{batch_id}"))
-        return True
+        return self._commit(batch_id, self._write(batch_id, deltas(changes)), [])
+
+    def _live(self) -> dict[str, str]:
+        """batch -> folder of the committed batches that no fold replaces."""
+        marks = self.marks()
+        replaced = {b for m in marks.values() for b in m[1:]}
+        return {b: m[0] for b, m in marks.items() if b not in replaced}
 
     def _stored(self) -> DataFrame | None:
-        # Compacted batches have a mark but no deltas of their own.
-        paths = [f"{self.path}/deltas/batch={b}" for b in self.committed()]
-        paths = [p for p in paths if self._fs.exists(self._Path(p))]
+        paths = [f"{self.path}/deltas/{folder}" for folder in self._live().values()]
         return self.spark.read.schema(SCHEMA).parquet(*paths) if paths else None
 
     def totals(self) -> DataFrame:
@@ -142,22 +179,21 @@ class TokenRollup:
         )
 
     def compact(self, batch_id: str) -> None:
-        """Fold all committed deltas into one batch named ``batch_id``. Readers must be idle."""
-        rows, old = self._stored(), self.committed()
-        if rows is None or batch_id in old:
-            return
-        self.totals().write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch_id}")
-        for b in old:
-            self._fs.delete(self._Path(f"{self.path}/deltas/batch={b}"), True)
-        self._fs.mkdirs(self._Path(f"{self.path}/commits/{batch_id}"))
+        """Fold all committed deltas into one batch named ``batch_id``. One fold at a time; a reader
+        that listed the batches before it must have ended."""
+        live = self._live()
+        if live and self._mark(batch_id) is None:
+            self._commit(batch_id, self._write(batch_id, self.totals()), list(live))
+        live = self._live()
+        for b in self.committed():
+            if b not in live:
+                self._fs.delete(self._Path(f"{self.path}/deltas/batch={b}"), True)
 
 
 def op1_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents inserted with word counts and, as a second version, estimated byte-pair
     counts; these revised to exact ones; documents labelled quality 0 deleted; one batch
     delivered twice."""
-    import uuid
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     counted = materialize(

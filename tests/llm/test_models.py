@@ -106,6 +106,75 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.fit(docs, labels.limit(0), F.lit(True)).score([np.zeros(0, np.int64)])[0] < 0.5
 
 
+# ---------------------------------------------------------------- scores by plain loops
+
+
+def plain_language(model, text):
+    """The prediction from the model's weights, n-gram by n-gram."""
+    full, m = 0xFFFFFFFF, (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
+    chars = [ord(c) if c.isalpha() else 32 for c in (text or "").lower()]
+    if not any(c != 32 for c in chars):
+        return "und", 0.0
+    chars += [32, 32, 32]
+    total = [0.0] * model.weights.shape[1]
+    for i in range(len(chars) - 2):
+        one = chars[i] * m[0] & full
+        two = one ^ (chars[i + 1] * m[1] & full)
+        three = two ^ (chars[i + 2] * m[2] & full)
+        for x in (one, two ^ 1, three ^ 2):
+            row = model.weights[((x ^ (x >> 15)) * m[1] & full) >> (32 - langid.BITS)]
+            total = [t + float(w) for t, w in zip(total, row)]
+    margin = [t / (len(chars) - 2) + b for t, b in zip(total, model.bias)]
+    families = len(model.families) if len(model.families) > 1 else 0
+    best = max(range(families), key=lambda k: margin[k]) if families else 0
+    score = 1 / (1 + np.exp(-4 * margin[best])) if families else 1.0
+    members = model.members[model.families[best]]
+    votes, sums = dict.fromkeys(members, 0), dict.fromkeys(members, 0.0)
+    for j, (a, b) in enumerate(model.pairs):
+        if a in members:
+            x = margin[families + j]
+            votes[a if x > 0 else b] += 1
+            sums[a] += x
+            sums[b] -= x
+    pick = max(members, key=lambda k: (votes[k], sums[k]))
+    return pick, score * (1 / (1 + np.exp(-4 * sums[pick] / (len(members) - 1))) if len(members) > 1 else 1.0)
+
+
+def test_language_scores_by_plain_loops(spark):
+    docs = languages(spark, [(900, "", "en", "x"), (901, "the thé\n12 schön", "de", "x"), (902, "É", "fr", "x")])
+    model = langid.fit(docs, langid.learn_rule())
+    for r in langid.identify(docs, model).collect():
+        lang, score = plain_language(model, r["text"])
+        assert r["lang_pred"] == lang and r["lang_score"] == pytest.approx(score, abs=1e-5)
+
+
+def test_language_of_a_text_in_slices(spark, monkeypatch):
+    model = langid.fit(languages(spark), langid.learn_rule())
+    text = made(random.Random(3), LETTERS["de"], 3000)
+    whole = model.predict([text])
+    monkeypatch.setattr(langid, "SLICE", 700)
+    cut = model.predict([text])
+    assert cut[0] == whole[0] and cut[1][0] == pytest.approx(whole[1][0], abs=1e-6)
+
+
+def test_toxicity_scores_by_plain_loops(spark):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    toxic = [int("w1" in t.split() and "w2" in t.split() or "w3" in t.split()) for t in texts]
+    docs = spark.createDataFrame(list(enumerate([*texts, None, "W1, w2!"])), "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    machine = toxicity.fit(docs, labels, F.lit(True))
+    assert len(machine.buckets) > 1
+    at = {int(b): i for i, b in enumerate(machine.buckets)}
+    for r in toxicity.score(docs, machine).collect():
+        terms = {zlib.crc32(t) >> (32 - toxicity.BITS) for t in toxicity.terms_of(r["text"])}
+        mine = sorted(at[b] for b in terms if b in at)
+        raw = machine.bias + sum(machine.w[i] for i in mine)
+        raw += sum(machine.v[i] @ machine.v[j] for i in mine for j in mine if i < j)
+        assert r["toxicity"] == pytest.approx(1 / (1 + np.exp(-min(max(raw, -30), 30))), abs=1e-9)
+
+
 # ---------------------------------------------------------------- token counts
 
 CHANGE = "op string, source string, lang string, old_version string, old_tokens long, new_version string, new_tokens long"
@@ -130,6 +199,63 @@ def test_rollup_is_additive_and_idempotent(spark, tmp_path):
     assert {tuple(r) for r in roll.totals().collect()} == want and not roll.apply("b1", one)
 
 
+def test_fold_that_stops_anywhere_loses_nothing(spark, tmp_path):
+    one = spark.createDataFrame([("insert", "a", "en", None, None, "v1", 10)], CHANGE)
+    want = {("a", "en", "v1", 3, 30)}
+
+    class Stop(Exception):
+        pass
+
+    def breaking(roll, calls):
+        """Every write, commit and delete of a fold counts; the next one after ``calls`` fails."""
+        left = [calls]
+
+        def guard(f):
+            def run(*args):
+                if not left[0]:
+                    raise Stop
+                left[0] -= 1
+                return f(*args)
+
+            return run
+
+        class Files:
+            def __getattr__(self, name):
+                f = getattr(roll_fs, name)
+                return guard(f) if name in ("create", "delete") else f
+
+        roll_fs = roll._fs
+        roll._fs, roll._write = Files(), guard(roll._write)
+        return roll
+
+    for calls in range(8):
+        path = str(tmp_path / f"roll{calls}")
+        for b in ("b1", "b2", "b3"):
+            assert tokencounts.TokenRollup(spark, path).apply(b, one)
+        try:
+            breaking(tokencounts.TokenRollup(spark, path), calls).compact("c1")
+            done = True
+        except Stop:
+            done = False
+        again = tokencounts.TokenRollup(spark, path)
+        assert {tuple(r) for r in again.totals().collect()} == want
+        again.compact("c1")
+        assert {tuple(r) for r in again.totals().collect()} == want and not again.apply("b2", one)
+    assert done
+
+
+def test_batch_delivered_while_it_is_read(spark, tmp_path):
+    one = spark.createDataFrame([("insert", "a", "en", None, None, "v1", 10)], CHANGE)
+    a, b = (tokencounts.TokenRollup(spark, str(tmp_path / "roll")) for _ in range(2))
+    late = b._write("b1", tokencounts.deltas(one))  # a second delivery, written before the first commits
+    assert a.apply("b1", one)
+    reading = a.totals()
+    assert not b._commit("b1", late, [])
+    assert {tuple(r) for r in reading.collect()} == {("a", "en", "v1", 1, 10)}
+    (tmp_path / "roll" / "commits" / "b9").write_bytes(b"")  # a mark whose write broke off
+    assert b.committed() == ["b1"] and b.apply("b9", one) and b.committed() == ["b1", "b9"]
+
+
 def test_snapshot_changes_lead_from_old_to_new(spark):
     schema = "doc_id long, source string, lang string, tokenizer_version string, n_tokens long, d string"
     old = spark.createDataFrame([(1, "a", "en", "v", 3, "x"), (2, "a", None, "v", 4, "x"), (3, "b", "en", "v", 5, "x")], schema)
