@@ -91,9 +91,13 @@ def _marked(docs: DataFrame, site: str, min_sites: int, min_chars: int, keep_fir
 
 
 def _removed(docs: DataFrame, drops: DataFrame) -> DataFrame:
-    lines = _lines(F.col("text"))
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("_fw_drop"), i)), "\n")
-    return docs.join(drops, "doc_id", "left").withColumns(
+    losing = docs.join(drops, "doc_id", "left").withColumn(
+        "_fw_lines", F.when(F.col("_fw_drop").isNotNull(), _lines(F.col("text")))
+    )
+    # Numbers of the lines that stay, by hashing: linear in lines and drops.
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_fw_lines") - 1), F.col("_fw_drop"))
+    kept = F.array_join(F.transform(stay, lambda i: F.get("_fw_lines", i)), "\n")
+    return losing.withColumns(
         {"_fw_n": F.coalesce(F.size("_fw_drop"), F.lit(0)), "_fw_text": F.when(F.col("_fw_drop").isNull(), F.col("text")).otherwise(kept)}
     )
 
