@@ -11,11 +11,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from framewright.llm import decontaminate, jaccard, langid, linededup, mixing
-from framewright.llm.common import shared_dir
+from framewright.llm.common import release, shared_dir
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the classifier knows."""
+    """Documents in a language that the classifier knows: those without letters go, and those whose
+    score for the predicted language is under 0.3."""
     return langid.reject(docs)
 
 
@@ -57,5 +58,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         path = f"{root}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
+        if k:  # the stage before is read no more
+            release(spark, docs)
         docs = spark.read.parquet(path)
     return docs
