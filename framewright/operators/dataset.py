@@ -38,6 +38,7 @@ def farthest_points(df: DataFrame, key: str, features: list[str], k: int) -> Dat
     if stats[0] is None:
         return df.limit(0).withColumn("pick", F.lit(1))
     z = df.select(key, *[((F.col(c) - stats[f"m_{c}"]) / (stats[f"s_{c}"] + 1e-9)).alias(c) for c in features])
+    z.persist()  # each round reads it; what an executor loses is computed again
     gap = lambda at: F.sqrt(sum(((F.col(c) - float(at[c])) * (F.col(c) - float(at[c])) for c in features), F.lit(0.0)))
     far = z.withColumn("_d", gap(dict.fromkeys(features, 0.0)))
     first = far.orderBy("_d", key).first()
@@ -49,6 +50,7 @@ def farthest_points(df: DataFrame, key: str, features: list[str], k: int) -> Dat
             break
         chosen.append(nxt)
         far = far.withColumn("_d", F.least("_d", gap(nxt)))
+    z.unpersist()
     picked = df.sparkSession.createDataFrame(
         [(r[key], i + 1) for i, r in enumerate(chosen)], df.select(key).schema.add("pick", T.IntegerType())
     )

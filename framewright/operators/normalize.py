@@ -57,8 +57,10 @@ def trimmed_centre(df: DataFrame, group: str, a: str, b: str, radius: float = RA
     """group, a, b, share: from the median, ``rounds`` times the mean of the values within
     ``radius`` of the last centre; a round that keeps nothing ends it. share is that of the last
     membership test, which precedes the last mean."""
-    rows = df.select(group, F.col(a).alias("_a"), F.col(b).alias("_b"))
-    centre = rows.groupBy(group).agg(
+    values = df.select(group, F.col(a).alias("_a"), F.col(b).alias("_b"))
+    # Each round reads the counts of different pairs, one exchange for all rounds.
+    rows = values.groupBy(group, "_a", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    centre = values.groupBy(group).agg(
         F.median("_a").alias("a"), F.median("_b").alias("b"), F.lit(1.0).alias("share"), F.lit(False).alias("done")
     )
     for _ in range(rounds):
@@ -68,8 +70,9 @@ def trimmed_centre(df: DataFrame, group: str, a: str, b: str, radius: float = RA
             rows.join(centre.select(group, "a", "b"), group)
             .groupBy(group)
             .agg(
-                F.avg(F.when(inside, F.col("_a"))).alias("na"), F.avg(F.when(inside, F.col("_b"))).alias("nb"),
-                F.avg(F.when(inside, 1.0).otherwise(0.0)).alias("ns"),
+                (F.sum(F.when(inside, F.col("_a") * F.col("_n"))) / F.sum(F.when(inside, F.col("_n")))).alias("na"),
+                (F.sum(F.when(inside, F.col("_b") * F.col("_n"))) / F.sum(F.when(inside, F.col("_n")))).alias("nb"),
+                (F.sum(F.when(inside, F.col("_n")).otherwise(0)) / F.sum("_n")).alias("ns"),
             )
         )
         step = centre.join(found, group)
