@@ -22,7 +22,8 @@ groups; then all pairs of classes that share 1 + s words, still lie in different
 whose 1024-bit parity sketches (whose Hamming distance is a lower bound again) lie within d are
 verified. No pair that may link is left out.
 
-Hashes have 64 bits. Null or empty texts and texts without words have no shingles and link with
+Texts are worked through a slice at a time; what a text adds beside itself is 8 bytes a word, and a
+set of shingles, 8 bytes each. Hashes have 64 bits. Null or empty texts and texts without words have no shingles and link with
 nothing; shorter texts have one shingle. Rows without doc_id take no part; doc_id names one
 document, repeated rows count once. Extra columns are ignored. Similarity must be at least 0.75.
 """
@@ -261,20 +262,18 @@ def link(docs: DataFrame, size: int = SIZE) -> DataFrame:
     )
     shared = spark.sparkContext.broadcast(np.sort(often.view(np.uint64)))
     keys = materialize(docs.mapInPandas(lambda it: _emit(it, size, shared), "key long, node long"), "words")
-    # Words that come once meet nothing. The count alone is the narrowest row to find them by; a
-    # share of the words at a time bounds the disk that this takes.
+    # Words that one class alone emits meet nothing. They are found by the least and the greatest
+    # class of each word, and a share of the words at a time bounds the disk that this takes.
     parts = []
     for p in range(PASSES):
         mine = keys.filter(F.pmod("key", F.lit(PASSES)) == p)
+        same = mine.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
         # Stored first: a join between plain exchanges is one whose hot keys are split.
-        again = materialize(mine.groupBy("key").count().filter("count > 1").select("key"), "word-counts")
-        parts.append(materialize(mine.join(again.hint("shuffle_hash"), "key", "left_semi"), "repeated-words"))
+        same = materialize(same.select("key"), "shared-word-keys")
+        parts.append(materialize(mine.join(same.hint("shuffle_hash"), "key", "left_semi"), "shared-words"))
+        release(spark, same)
     release(spark, keys)
-    repeated = reduce(DataFrame.unionByName, parts)
-    same = repeated.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
-    same = materialize(same.select("key"), "shared-word-keys")
-    hits = materialize(repeated.join(same.hint("shuffle_hash"), "key", "left_semi"), "shared-words")
-    release(spark, *parts)
+    hits = reduce(DataFrame.unionByName, parts)
     # A class that is to link shares at least 1 + spare(smaller size) words with one other. The
     # share of its words that others hold tells how central a class is.
     sizes = base.filter("n > 0").select(F.col("h").alias("node"), "n").distinct()
