@@ -7,7 +7,7 @@ Base kinds are found leftmost and non-overlapping. The entropy kinds look at max
 character class ("hex digits of either case", "base-64 letters") that the fixed patterns may
 have missed: a window of ``window`` characters slides along the run, the count of the character
 that enters and of the one that leaves change by one, and the sum of c*log2(c) follows from
-those two counts alone. A run is reported when its best window reaches the class threshold, it
+those two counts alone. Work is in proportion to a run's length, whatever it is. A run is reported when its best window reaches the class threshold, it
 holds a digit and a letter, no allow-list pattern matches it, and no base span overlaps it.
 
 Nulls count as empty texts; an empty text has no spans. Repeated rows give repeated results.
@@ -57,27 +57,38 @@ class SecretRules:
     )
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: lambda variables are, other expressions inside a
+    lambda are computed anew for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(x: Column, most: int = 31) -> Column:
+    """Running sums of an array, by doubling: each step adds the array moved by 1, 2, 4, ..., so
+    n elements cost n log n and no array grows by appending."""
+    moves = F.array(*[F.lit(1 << i) for i in range(most)])
+    moved = lambda acc, k: F.concat(F.array_repeat(F.lit(0), k), F.slice(acc, F.lit(1), F.size(acc) - k))
+    return _let(
+        x,
+        lambda v: F.aggregate(
+            F.filter(moves, lambda k: k < F.size(v)), v, lambda acc, k: F.zip_with(acc, moved(acc, k), lambda a, b: a + b)
+        ),
+    )
+
+
 def _located(text: Column, pattern: str) -> Column:
     """Every match of ``pattern`` as struct(start, match), starts in code points from 0: the
     pieces between the matches and the matches alternate, so running lengths give places."""
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zipped = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))
-    empty = F.struct(
-        F.lit(0).alias("at"),
-        F.array().cast("array<struct<start:int,hit:string>>").alias("found"),
-    )
-    walked = F.aggregate(
-        F.filter(zipped, lambda z: z["hit"].isNotNull()),
-        empty,
-        lambda acc, z: F.struct(
-            (acc["at"] + F.length(z["gap"]) + F.length(z["hit"])).alias("at"),
-            F.concat(
-                acc["found"],
-                F.array(F.struct((acc["at"] + F.length(z["gap"])).alias("start"), z["hit"].alias("hit"))),
-            ).alias("found"),
-        ),
+    parts = F.struct(
+        F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits")
     )
-    return walked["found"]
+
+    def places(p: Column) -> Column:
+        gaps = F.slice(p["gaps"], F.lit(1), F.size(p["hits"]))
+        ends = _running(F.zip_with(gaps, p["hits"], lambda g, h: F.length(g) + F.length(h)))
+        return F.zip_with(ends, p["hits"], lambda end, h: F.struct((end - F.length(h)).alias("start"), h.alias("hit")))
+
+    return _let(parts, places)
 
 
 def _spans(found: Column, rank: int) -> Column:
@@ -91,36 +102,45 @@ def _spans(found: Column, rank: int) -> Column:
 
 def window_entropy(run: Column, window: int, alphabet: str) -> Column:
     """The greatest Shannon entropy, in bits per character, of any ``window`` characters of
-    ``run``, by incremental counts; runs shorter than the window have none (null)."""
+    ``run``, by incremental counts; runs shorter than the window have none (null).
+
+    The run is taken apart once; a step sees the letter that enters and the one that leaves, and
+    changes two of the counts, which are packed into a few longs. So a step costs the same at any
+    place of any run."""
+    bits = window.bit_length()
+    per = 63 // bits
     clog = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)])
-    letters = F.array(*[F.lit(c) for c in alphabet])
-    code = lambda ch: F.instr(F.lit(alphabet), ch) - 1
-    first = F.substring(run, 1, window)
-    counts = F.transform(letters, lambda ch: F.length(first) - F.length(F.replace(first, ch, F.lit(""))))
-    total = F.aggregate(counts, F.lit(0.0), lambda s, c: s + F.element_at(clog, c + 1))
-    start = F.struct(counts.alias("n"), total.alias("s"), total.alias("least"))
-
-    def slide(acc: Column, i: Column) -> Column:
-        out, into = code(F.substr(run, i, F.lit(1))), code(F.substr(run, i + window, F.lit(1)))
-        a, b = F.element_at(acc["n"], out + 1), F.element_at(acc["n"], into + 1)
-        s = F.when(out == into, acc["s"]).otherwise(
-            acc["s"]
-            - F.element_at(clog, a + 1)
-            + F.element_at(clog, a)
-            - F.element_at(clog, b + 1)
-            + F.element_at(clog, b + 2)
-        )
-        n = F.transform(
-            acc["n"], lambda c, j: c - F.when(j == out, 1).otherwise(0) + F.when(j == into, 1).otherwise(0)
+    codes = F.transform(F.slice(F.split(run, ""), F.lit(1), F.length(run)), lambda ch: F.instr(F.lit(alphabet), ch) - 1)
+    leaving = lambda c: F.concat(F.array_repeat(F.lit(-1), window), F.slice(c, F.lit(1), F.size(c) - window))
+    steps = _let(codes, lambda c: F.zip_with(c, leaving(c), lambda into, out: F.struct(into.alias("into"), out.alias("out"))))
+    shift = lambda code: (F.pmod(code, F.lit(per)) * bits).cast("int")
+    word = lambda code: F.floor(code / per).cast("int")
+    one = lambda code: F.call_function("shiftleft", F.lit(1).cast("long"), shift(code))
+    count = lambda n, code: F.call_function(
+        "shiftright", F.element_at(n, word(code) + 1), shift(code)
+    ).bitwiseAND(F.lit((1 << bits) - 1).cast("long")).cast("int")
+    start = F.struct(
+        F.array_repeat(F.lit(0).cast("long"), -(-len(alphabet) // per)).alias("n"),
+        F.lit(0.0).alias("s"), F.lit(math.inf).alias("least"), F.lit(0).alias("at"),
+    )
+
+    def slide(acc: Column, x: Column) -> Column:
+        into, out, n = x["into"], x["out"], acc["n"]
+        a, b = count(n, out), count(n, into)
+        gone = F.when(out < 0, F.lit(0.0)).otherwise(F.element_at(clog, a + 1) - F.element_at(clog, a))
+        come = F.element_at(clog, b + 2) - F.element_at(clog, b + 1)
+        s = F.when(out == into, acc["s"]).otherwise(acc["s"] - gone + come)
+        moved = F.transform(
+            n,
+            lambda c, j: c
+            - F.when((out >= 0) & (j == word(out)), one(out)).otherwise(F.lit(0).cast("long"))
+            + F.when(j == word(into), one(into)).otherwise(F.lit(0).cast("long")),
         )
-        return F.struct(n.alias("n"), s.alias("s"), F.least(acc["least"], s).alias("least"))
+        least = F.when(acc["at"] >= window - 1, F.least(acc["least"], s)).otherwise(acc["least"])
+        return F.struct(moved.alias("n"), s.alias("s"), least.alias("least"), (acc["at"] + 1).alias("at"))
 
-    steps = F.when(F.length(run) > window, F.sequence(F.lit(1), F.length(run) - window)).otherwise(
-        F.array().cast("array<int>")
-    )
     return F.when(
-        F.length(run) >= window,
-        F.lit(math.log2(window)) - F.aggregate(steps, start, slide)["least"] / window,
+        F.length(run) >= window, F.lit(math.log2(window)) - F.aggregate(steps, start, slide)["least"] / window
     )
 
 
