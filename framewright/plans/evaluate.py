@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions import color, geometry, numeric, text
-from framewright.operators import dataset, images, kernels, metrics, records, scoring, verify
+from framewright.operators import dataset, images, kernels, ledger, metrics, records, scoring, verify
 from framewright.plans.base import query, table
+from framewright.sources import files
 
 # ------------------------------------------------------------------ metrics
 
@@ -599,3 +600,90 @@ def classification_log(spark, sf):
     rows = records.classification_rows(_features(spark, sf), "doc_id", "2024-01-01 00:00:00.000")
     made = scoring.classify(_features(spark, sf)).select(F.col("doc_id").cast("string").alias("source"), F.col("confidence").alias("sure"))
     return rows.join(made, "source").select("source", "call", F.round("sure", 6).alias("confidence"))
+
+
+# ------------------------------------------------------------------ small rules on whole tables
+
+@query("""
+WITH t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'no time' WHEN o_orderkey % 11 > 0 THEN strftime(o_orderdate, '%Y:%m:%d %H:%M:%S') END AS x FROM orders)
+SELECT o_orderkey, strftime(try_strptime(x, '%Y:%m:%d %H:%M:%S'), '%Y%m%d%H%M%S') AS taken FROM t""")
+def capture_times(spark, sf):
+    """Capture times read from metadata text, NULL where it holds none."""
+    written = F.when(F.col("o_orderkey") % 7 == 0, "no time").when(F.col("o_orderkey") % 11 > 0, F.date_format("o_orderdate", "yyyy:MM:dd HH:mm:ss"))
+    return table(spark, sf, "orders").select("o_orderkey", F.date_format(text.captured_at(written), "yyyyMMddHHmmss").alias("taken"))
+
+
+@query("""
+WITH s AS (SELECT l_orderkey, l_linenumber, l_quantity * l_quantity / 400.0::DOUBLE AS s FROM lineitem)
+SELECT l_orderkey, l_linenumber, s < 1 AS fraction, round(CASE WHEN s < 1 THEN round_even(1 / s, 0) ELSE s END, 6) AS number,
+  CAST(round_even((round_even((least(9.5::DOUBLE, greatest(0.5::DOUBLE, s)) - 0.5) / 0.25, 0) * 0.25 + 0.5) * 100, 0) AS INTEGER) AS slider FROM s""")
+def exposure_labels(spark, sf):
+    """Shutter times as 1/n or seconds, and a slider's value: clamped, then snapped."""
+    l = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") * F.col("l_quantity") / 400.0).alias("s"))
+    frac, number = text.shutter_parts(F.col("s"))
+    return l.select("l_orderkey", "l_linenumber", frac.alias("fraction"), F.round(number, 6).alias("number"), numeric.clamp_snap(F.col("s"), 0.5, 9.5, 0.25).alias("slider"))
+
+
+_WIDE = color.wide_to_standard()
+
+
+@query("WITH p AS (SELECT l_orderkey, l_linenumber, l_quantity / 50::DOUBLE AS r, l_discount * 10::DOUBLE AS g, l_tax * 12::DOUBLE AS b FROM lineitem) SELECT l_orderkey, l_linenumber, "
+       + ", ".join(f"round({x!r}::DOUBLE * r + {y!r}::DOUBLE * g + {z!r}::DOUBLE * b, 5) AS {c}" for c, (x, y, z) in zip("rgb", _WIDE)) + " FROM p")
+def wide_to_standard(spark, sf):
+    """Linear colours from the wide space to the standard one."""
+    l = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", (F.col("l_quantity") / 50).alias("r"), (F.col("l_discount") * 10).alias("g"), (F.col("l_tax") * 12).alias("b")
+    )
+    out = color.apply_matrix(_WIDE, (F.col("r"), F.col("g"), F.col("b")))
+    return l.select("l_orderkey", "l_linenumber", *[F.round(x, 5).alias(c) for c, x in zip("rgb", out)])
+
+
+@query("""
+WITH p AS (SELECT c_nationkey, count(*) AS n, sum(CASE WHEN c_acctbal >= 0 THEN c_acctbal ELSE 0 END) / count(*) AS m FROM customer GROUP BY c_nationkey),
+k AS (SELECT n_nationkey, n_nationkey % 5 AS covered, 4 AS pixels FROM nation)
+SELECT c_nationkey, n, round(m, 6) AS c_acctbal FROM p WHERE n >= 5 AND c_nationkey IN (SELECT n_nationkey FROM k WHERE covered > 0 AND covered < pixels)""")
+def usable_groups(spark, sf):
+    """Profiles of enough rows whose mask is neither empty nor full."""
+    profiles = dataset.profile(table(spark, sf, "customer"), "c_nationkey", ["c_acctbal"])
+    masks = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), (F.col("n_nationkey") % 5).alias("covered"), F.lit(4).alias("pixels"))
+    return _rounded(dataset.usable(profiles, masks, "c_nationkey", 5), "c_acctbal")
+
+
+@query("""
+WITH d AS (SELECT doc_id, 'd' || doc_id || '.txt' AS name, coalesce(text, '') AS body FROM documents),
+c AS (SELECT doc_id, name, md5(CASE WHEN doc_id % 9 = 0 THEN body || '!' ELSE body END) AS m FROM d),
+h AS (SELECT name, md5(body) AS m FROM d WHERE doc_id % 4 > 0)
+SELECT doc_id, name FROM c WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.name = c.name AND h.m = c.m)""")
+def checksum_gate(spark, sf):
+    """Catalog rows that no local file of the same name and checksum confirms."""
+    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("d"), "doc_id", F.lit(".txt")).alias("name"), F.coalesce("text", F.lit("")).alias("body"))
+    stored = F.when(F.col("doc_id") % 9 == 0, F.concat("body", F.lit("!"))).otherwise(F.col("body"))
+    catalog = d.select("doc_id", "name", F.md5(stored.cast("binary")).alias("md5"))
+    local = d.filter("doc_id % 4 > 0").select("name", F.col("body").cast("binary").alias("content"))
+    return files.worklist(catalog, local).select("doc_id", "name")
+
+
+@query("""
+WITH n AS (SELECT o_orderkey AS job_id, unnest(['f' || o_custkey, 'f' || (o_custkey + 1)]) AS path FROM orders)
+SELECT job_id, path FROM n WHERE path NOT IN (SELECT 'f' || c_custkey FROM customer WHERE c_custkey % 3 > 0)""")
+def missing_inputs(spark, sf):
+    """Files that jobs name and the listing lacks."""
+    file = lambda c: F.concat(F.lit("f"), c.cast("string"))
+    jobs = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("job_id"), F.to_json(F.array(file(F.col("o_custkey")), file(F.col("o_custkey") + 1))).alias("bracket_files")
+    )
+    listing = table(spark, sf, "customer").filter("c_custkey % 3 > 0").select(file(F.col("c_custkey")).alias("path"))
+    return ledger.missing_files(jobs, "bracket_files", listing, "path").select("job_id", "path")
+
+
+@query("""
+WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS e FROM embeddings),
+c AS (SELECT vec_id, count(*) FILTER (e > 0 AND e > 0.1::DOUBLE) AS ip, count(*) FILTER (e > 0 OR e > 0.1::DOUBLE) AS up,
+  count(*) FILTER (NOT e > 0 AND NOT e > 0.1::DOUBLE) AS n, count(*) FILTER (NOT e > 0 OR NOT e > 0.1::DOUBLE) AS un FROM v GROUP BY vec_id)
+SELECT vec_id, round(ip / nullif(up, 0)::DOUBLE, 6) AS pos_iou, round(n / nullif(un, 0)::DOUBLE, 6) AS neg_iou,
+  round((ip / nullif(up, 0)::DOUBLE + n / nullif(un, 0)::DOUBLE) / 2, 6) AS miou FROM c""")
+def image_rates(spark, sf):
+    """Rates of each image from its pixels."""
+    pixels = table(spark, sf, "embeddings").select("vec_id", F.explode("embedding").alias("e"))
+    per = pixels.groupBy("vec_id").agg(*metrics.counts(F.col("e") > 0, F.col("e").cast("double") > 0.1))
+    return _rounded(metrics.rates(per).select("vec_id", "pos_iou", "neg_iou", "miou"), "pos_iou", "neg_iou", "miou")
