@@ -80,9 +80,11 @@ def spread(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Fewer rows at a time in Arrow exchange with Python workers, so that long texts and their
-    hashes stay within a worker's memory; a smaller setting is left alone."""
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Fewer rows at a time in Arrow exchange with Python workers for the time of a block, so that
+    long texts and their hashes stay within a worker's memory; a smaller setting is left alone."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
-        spark.conf.set(name, str(rows))
+    now = int(spark.conf.get(name, "10000"))
+    with setting(spark, name, str(now if 0 < now <= rows else rows)):
+        yield

@@ -249,8 +249,12 @@ def classes(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
 def link(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest doc_id with this very set), component_id (smallest
     doc_id reachable by links)."""
+    with small_batches(docs.sparkSession):  # every step that runs Python is stored inside
+        return _link(docs, size)
+
+
+def _link(docs: DataFrame, size: int) -> DataFrame:
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     base, summary = classes(docs, size)
     total = base.filter("n > 0").count()
