@@ -87,6 +87,23 @@ def chunks_by_name(df: DataFrame, keys: list[str], ts: str, name: str, size: int
     )
 
 
+def grouped(
+    df: DataFrame, keys: list[str], ts: str, name: str, duration: str | None = None,
+    least: int = LEAST, long_gap: float = LONG_GAP, short_gap: float = SHORT_GAP,
+) -> DataFrame:
+    """Every record with its group, way and whether the group is complete. The keys name one input:
+    if all its records have a time, the input is grouped by time; if one lacks it, the whole input
+    goes by name, ``least`` records at a time."""
+    lacking = F.bool_or(F.col(ts).isNull()).over(Window.partitionBy(*keys))
+    timed = df.withColumn("_lacking", lacking).filter("not _lacking").drop("_lacking")
+    by_time = assign_sessions(timed, keys, ts, name, duration, least, long_gap, short_gap)
+    members = F.count(F.lit(1)).over(Window.partitionBy(*keys, "session"))
+    by_name = chunks_by_name(df, keys, ts, name, least)
+    return by_time.select(*df.columns, F.col("session").alias("group"), F.lit("time").alias("way"), (members >= least).alias("complete")).unionByName(
+        by_name.select(*df.columns, F.col("chunk").alias("group"), F.lit("name").alias("way"), "complete")
+    )
+
+
 def middle(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """The record at index n div 2 of each key."""
     w = Window.partitionBy(*keys)

@@ -64,6 +64,21 @@ def chunk_fallback(spark, sf):
     return sessions.chunks_by_name(events, ["user_id"], "ts", "event_id").select("user_id", "event_id", "chunk", "complete")
 
 
+_LACKING = "(SELECT user_id FROM events WHERE user_id % 3 = 0 AND event_id % 100 = 0)"
+
+
+@query(SESSIONS_SQL.replace("FROM events WINDOW", f"FROM (SELECT * FROM events WHERE user_id NOT IN {_LACKING}) WINDOW") + f"""
+, m AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events WHERE user_id IN {_LACKING})
+SELECT user_id, event_id, session AS "group", 'time' AS way, count(*) OVER (PARTITION BY user_id, session) >= 3 AS complete FROM s
+UNION ALL SELECT user_id, event_id, CAST(i // 3 AS BIGINT), 'name', count(*) OVER (PARTITION BY user_id, i // 3) = 3 FROM m""")
+def grouped_inputs(spark, sf):
+    """Each user's records by time, or all of them by name where one time is missing."""
+    missing = (F.col("user_id") % 3 == 0) & (F.col("event_id") % 100 == 0)
+    events = table(spark, sf, "events").select("user_id", "event_id", F.when(~missing, F.col("ts")).alias("ts"), "value")
+    out = sessions.grouped(events, ["user_id"], "ts", "event_id", "value", 3, LONG, SHORT)
+    return out.select("user_id", "event_id", "group", "way", "complete")
+
+
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def sidecar_anti(spark, sf):
     """Rows without a partner of the same key: the form of sidecar suppression."""
