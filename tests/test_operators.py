@@ -388,3 +388,20 @@ def test_images_too_clipped_or_too_coloured_are_not_measured(spark):
     assert (got["a"]["l"], got["a"]["a"], got["a"]["b"], got["a"]["valid_share"], got["a"]["neutral_share"]) == (50.0, 1.0, 2.0, 0.8, 1.0)
     assert got["b"]["l"] is None and got["b"]["a"] is None and got["b"]["neutral_share"] == 0.0
     assert got["c"]["l"] == 34.5 and got["c"]["a"] is None and got["c"]["neutral_share"] < 0.3
+
+
+def test_boundaries_in_both_forms(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    h, w = 9, 12
+    rows = [(i % 3, *[(rng.random(h * w) < 0.85).astype(int).tolist() for _ in range(2)]) for i in range(20)]
+    rows += [(4, [1] * (h * w), [0] * (h * w))]
+    df = spark.createDataFrame(rows, "k int, a array<int>, b array<int>")
+    for d in (1, 2):
+        flags = df.select("a", kernels.boundary_flags(F.col("a"), h, w, d).alias("f")).collect()
+        assert all((np.array(r["f"]).reshape(h, w) == kernels.inner_boundary(np.array(r["a"]).reshape(h, w).astype(bool), d)).all() for r in flags)
+        share = d / np.hypot(h, w)
+        assert kernels.boundary_width(h, w, share) == d
+        native = sorted(map(tuple, kernels.boundary_counts(df, ["k"], "a", "b", h, w, share).collect()))
+        monkeypatch.setattr(kernels, "NARROW", 0)
+        assert native == sorted(map(tuple, kernels.boundary_counts(df, ["k"], "a", "b", h, w, share).collect()))
+        monkeypatch.setattr(kernels, "NARROW", 2)
