@@ -34,8 +34,11 @@ Segments and stretches that count as equal as a whole, and windows of large buck
 A text longer than a slice is cut into segments slice by slice, each slice with the bytes that its
 last window needs; segments end there, which changes no window.
 
+``passages`` runs the same search over words in place of bytes.
+
 Null texts count as empty. Texts shorter than ``length`` hold no window. Repeated rows repeat each
-other's text in full and are removed both. Rows without doc_id keep their text. An empty table
+other's text in full and are removed both. Rows without doc_id keep their text and
+repeat nothing; doc_id names one text, so rows that share a doc_id must share their text. An empty table
 gives an empty result. Extra columns pass through ``remove_repeats``.
 """
 
@@ -43,16 +46,18 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import materialize, small_batches
-from framewright.llm.textkit import Powers, chunks, join_utf8, mix64, prefix_hash
+from framewright.llm.common import materialize, release, small_batches
+from framewright.llm.textkit import Powers, chunks, join_utf8, long_word_hashes, mix64, prefix_hash, word_hashes
 
-LENGTH, MOST, BLOCK, STRETCH, SLICE = 400, 64, 1 << 19, 16, 1 << 20
+LENGTH, MOST, BLOCK, STRETCH, SLICE, WORDS, CODE = 400, 64, 1 << 19, 16, 1 << 20, 51, 3
+_POWERS = Powers()
 
 
 def fingerprints(c: np.ndarray, starts: np.ndarray, n, pw: Powers) -> np.ndarray:
@@ -71,25 +76,43 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
-def slices(texts: list, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
-    """(buffer, text offsets, number of the first text, byte of it that the buffer starts at) of
-    ranges of texts, and of slices of a text that is too long to stand in one."""
+def as_bytes(texts: list) -> list[bytes]:
+    return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+
+
+def as_words(texts: list) -> list[bytes]:
+    """CODE bytes for each word of a text, from its hash: strings of words as strings of bytes."""
+    pw, out = _POWERS, []
     for lo, hi in chunks(texts):
         if hi - lo == 1 and len(texts[lo] or "") > SLICE:
-            raw = texts[lo].encode("utf-8", "surrogatepass")
-            for a in range(0, len(raw) - length + 1, SLICE):
-                part = np.frombuffer(raw[a : a + SLICE + length - 1] + b" ", np.uint8)
+            words = long_word_hashes(texts[lo], pw)
+            first = np.array([0, len(words)])
+        else:
+            words, first = word_hashes(*join_utf8(texts[lo:hi]), pw)
+        codes = words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CODE]
+        out += [codes[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
+    return out
+
+
+def slices(raws: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """(buffer, text offsets, number of the first text, byte of it that the buffer starts at) of
+    ranges of texts, and of slices of a text that is too long to stand in one."""
+    for lo, hi in chunks(raws):
+        if hi - lo == 1 and len(raws[lo]) > SLICE:
+            for a in range(0, len(raws[lo]) - length + 1, SLICE):
+                part = np.frombuffer(raws[lo][a : a + SLICE + length - 1] + b" ", np.uint8)
                 yield part, np.array([0, len(part)]), lo, a
         else:
-            yield *join_utf8(texts[lo:hi]), lo, 0
+            offsets = np.cumsum([0, *(len(r) + 1 for r in raws[lo:hi])])
+            yield np.frombuffer(b" ".join(raws[lo:hi]) + b" ", np.uint8), offsets, lo, 0
 
 
-def segments(texts: list, length: int, pw: Powers) -> Iterator[tuple]:
+def segments(raws: list[bytes], length: int, pw: Powers) -> Iterator[tuple]:
     """For ranges of texts: (text number, anchor hash, first window, windows, offset of the anchor
     from the first window, hash of the whole span) of every segment."""
     k = max(1, length // 4)
     w = length - k + 1
-    for buf, offsets, lo, skipped in slices(texts, length):
+    for buf, offsets, lo, skipped in slices(raws, length):
         if len(buf) < length:
             continue
         c = prefix_hash(buf, pw)
@@ -117,11 +140,11 @@ def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x, np.uint64).view(np.int64)
 
 
-def _segments(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
+def _segments(batches: Iterator[pd.DataFrame], length: int, unit) -> Iterator[pd.DataFrame]:
     pw = Powers()
     for pdf in batches:
         ids = pdf["doc_id"].to_numpy()
-        for owner, anchor, first, size, offset, whole in segments(list(pdf["text"]), length, pw):
+        for owner, anchor, first, size, offset, whole in segments(unit(list(pdf["text"])), length, pw):
             yield pd.DataFrame(
                 {
                     "anchor": signed(anchor), "whole": signed(whole), "doc_id": ids[owner],
@@ -150,27 +173,32 @@ def period(length: int) -> int:
     return max(d for d in range(1, min(16, max(1, length // 5)) + 1) if length % d == 0)
 
 
-def dense(*keys: np.ndarray) -> np.ndarray:
-    """Ranks from 0 by the keys, the first one leading; equal ranks for equal keys."""
-    by = np.lexsort(keys[::-1])
+def dense(key: np.ndarray) -> np.ndarray:
+    """Ranks from 0; equal ranks for equal keys."""
+    by = np.argsort(key)
     new = np.zeros(len(by), bool)
-    for k in keys:
-        new[1:] |= k[by[1:]] != k[by[:-1]]
+    new[1:] = key[by[1:]] != key[by[:-1]]
     out = np.empty(len(by), np.int64)
     out[by] = np.cumsum(new)
     return out
 
 
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Ranks by two ranks (-1 at least), the first one leading. Both are at most the buffer's length,
+    so the pair is one number."""
+    return dense((a + 1) * (int(b.max(initial=0)) + 2) + b + 1)
+
+
 def byte_ranks(buf: np.ndarray, v: int) -> np.ndarray:
     """Rank of every position by the v bytes that begin there (v up to 16)."""
     n = len(buf) - v + 1
-    keys = []
+    ranks = []
     for a in range(0, v, 8):
         key = np.zeros(n, np.uint64)
         for j in range(a, min(v, a + 8)):
             key = (key << np.uint64(8)) | buf[j : j + n]
-        keys.append(key)
-    return dense(*keys)
+        ranks.append(dense(key))
+    return reduce(paired, ranks)
 
 
 def cover_ranks(first: np.ndarray, v: int, blocks: int) -> np.ndarray:
@@ -184,11 +212,11 @@ def cover_ranks(first: np.ndarray, v: int, blocks: int) -> np.ndarray:
     have, done = 1, 0
     while True:
         if blocks & have:
-            total[where] = dense(total[where], shifted(level, done)) if done else level[where]
+            total[where] = paired(total[where], shifted(level, done)) if done else level[where]
             done += have
         if done == blocks:
             return total
-        level[where] = dense(level[where], shifted(level, have))
+        level[where] = paired(level[where], shifted(level, have))
         have *= 2
 
 
@@ -199,7 +227,7 @@ def window_order(buf: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.n
     first = byte_ranks(buf, v)
     sample, step = cover_ranks(first, v, length // v - 1), steps(v)
     head, tail, phase = first[starts], first[starts + length - v], starts % v
-    order = np.argsort(head, kind="stable")
+    order = np.argsort(head)
     new = np.append(True, head[order][1:] != head[order][:-1])
     open_at = np.arange(len(order))  # places in the order whose group is not settled
     while True:
@@ -215,19 +243,19 @@ def window_order(buf: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.n
         d = step[phase[at], phase[pivot]]
         a, b = sample[starts[at] + d], sample[starts[pivot] + d]
         side = np.where(a != b, np.sign(a - b), np.sign(tail[at] - tail[pivot]))
-        by = np.lexsort((side, np.repeat(np.arange(len(count)), count)))
+        by = np.argsort(np.repeat(np.arange(len(count)), count) * 3 + side + 1)
         order[open_at], side = at[by], side[by]
         new[open_at[1:]] |= side[1:] != side[:-1]
         open_at = open_at[side != 0]
 
 
-def _cut(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
+def _cut(batches: Iterator[pd.DataFrame], length: int, unit) -> Iterator[pd.DataFrame]:
     """The bytes of the wanted segments of each text."""
     for pdf in batches:
         out: dict = {c: [] for c in ("anchor", "big", "doc_id", "first", "size", "offset", "span")}
         held = 0
         for doc, text, want in zip(pdf["doc_id"], pdf["text"], pdf["want"]):
-            raw = text.encode("utf-8", "surrogatepass")
+            (raw,) = unit([text])
             for w in want:
                 out["anchor"].append(w["anchor"])
                 out["big"].append(w["big"])
@@ -379,17 +407,22 @@ def _large_buckets(spans: DataFrame, length: int, ident: str) -> DataFrame:
     )
     twice = materialize(windows.groupBy("head", "body").count().filter("count > 1").select("head", "body"), "twice")
     single = windows.join(twice, ["head", "body"], "left_semi").select("doc_id", "first", F.lit(1).cast("long").alias("size"))
-    return in_full.unionByName(single)
+    return materialize(in_full, "stretches-in-full").unionByName(materialize(single, "single-windows"))
 
 
-def repeat_runs(docs: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFrame:
-    """doc_id, first, size: runs of windows (byte offset of the first, number) that occur elsewhere."""
-    small_batches(docs.sparkSession)
+def repeat_runs(docs: DataFrame, length: int = LENGTH, most: int = MOST, unit=as_bytes) -> DataFrame:
+    """doc_id, first, size: runs of windows (byte offset of the first, number) that occur elsewhere,
+    in texts as the bytes that ``unit`` makes of them. Stored."""
+    with small_batches(docs.sparkSession):  # every step that runs Python is stored inside
+        return _repeat_runs(docs, length, most, unit)
+
+
+def _repeat_runs(docs: DataFrame, length: int, most: int, unit) -> DataFrame:
     ident = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
     found = materialize(
-        docs.filter(F.octet_length("text") >= length).mapInPandas(
-            lambda it: _segments(it, length),
+        docs.filter(F.octet_length("text") >= length - 1).mapInPandas(
+            lambda it: _segments(it, length, unit),
             f"anchor long, whole long, doc_id {ident}, first long, size int, offset int",
         ),
         "segments",
@@ -397,7 +430,8 @@ def repeat_runs(docs: DataFrame, length: int = LENGTH, most: int = MOST) -> Data
     # Buckets of two segments or more; hot ones cost a row for each task before the shuffle.
     # Counts are stored first: a join between plain exchanges is one whose hot keys are split.
     shared = materialize(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "shared-anchors")
-    found = materialize(found.join(shared, "anchor", "left_semi"), "shared-segments")
+    every, found = found, materialize(found.join(shared, "anchor", "left_semi"), "shared-segments")
+    release(docs.sparkSession, every, shared)
     # One row for each different segment: how often it occurs and one place of it.
     distinct = materialize(
         found.groupBy("anchor", "whole").agg(
@@ -423,7 +457,7 @@ def repeat_runs(docs: DataFrame, length: int = LENGTH, most: int = MOST) -> Data
     )
     spans = materialize(
         docs.join(wanted, "doc_id").select("doc_id", "text", "want").mapInPandas(
-            lambda it: _cut(it, length),
+            lambda it: _cut(it, length, unit),
             f"anchor long, big boolean, doc_id {ident}, first long, size int, offset int, span binary",
         ),
         "spans",
@@ -433,7 +467,29 @@ def repeat_runs(docs: DataFrame, length: int = LENGTH, most: int = MOST) -> Data
         .mapInPandas(lambda it: _sort_blocks(it, length), f"doc_id {ident}, first long, size long")
     )
     large = _large_buckets(spans.filter("big").drop("big"), length, ident)
-    return in_full.unionByName(sorted_blocks).unionByName(large)
+    # Each part is stored by itself, so that a hot key of its join is split.
+    parts = [materialize(in_full, "repeats-in-full"), materialize(sorted_blocks, "repeats-sorted"), large]
+    release(docs.sparkSession, found, distinct, open_buckets, spans)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def passages(docs: DataFrame, words: int = WORDS, most: int = MOST) -> DataFrame:
+    """doc_id, n_words: how many words of a document lie in passages of ``words`` words or more that
+    occur elsewhere, wherever lines break and in either case. The same search as for bytes, over
+    CODE bytes of each word's hash; documents without such words are left out."""
+    found = repeat_runs(docs, CODE * words, most, as_words)
+    # Windows that count begin with a word.
+    head, tail = F.ceil(F.col("first") / CODE), F.floor((F.col("first") + F.col("size") - 1) / CODE)
+    word = found.filter(head <= tail).select("doc_id", head.alias("a"), (tail + words).alias("b"))
+    spans = F.array_sort(F.collect_list(F.struct("a", "b")))
+    start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+    total = F.aggregate(
+        spans, start,
+        lambda acc, s: F.struct(
+            F.greatest(acc["end"], s["b"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), s["b"] - F.greatest(acc["end"], s["a"]))).alias("n")
+        ),
+    )
+    return word.groupBy("doc_id").agg(total["n"].alias("n_words"))
 
 
 def _apply(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
@@ -471,7 +527,7 @@ def _apply(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFram
 def remove_repeats(docs: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFrame:
     """``docs`` with repeated strings removed from text, and n_bytes, n_removed, n_spans (maximal
     removed runs), kept_sha256 (of the remaining bytes)."""
-    found = materialize(repeat_runs(docs, length, most), "repeat-runs")
+    found = repeat_runs(docs, length, most)
     per_doc = found.groupBy(F.col("doc_id").alias("_fw_id")).agg(F.collect_list(F.struct("first", "size")).alias("_fw_runs"))
     joined = docs.join(per_doc, docs["doc_id"] == per_doc["_fw_id"], "left").drop("_fw_id")
     long0 = F.lit(0).cast("long")
@@ -480,5 +536,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, most: int = MOST) -> D
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns, and n_passage_words: words of the document in passages of more than
+    50 words that occur elsewhere, which may be shorter than 400 bytes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return remove_repeats(docs).drop("text")
+    shared = passages(docs).withColumnRenamed("n_words", "n_passage_words")
+    return remove_repeats(docs).drop("text").join(shared, "doc_id", "left").na.fill(0, ["n_passage_words"])

@@ -211,9 +211,57 @@ def test_suffix_dedup_cuts_long_texts_into_slices(spark, monkeypatch):
     monkeypatch.setattr(suffixdedup, "chunks", lambda texts: ((i, i + 1) for i in range(len(texts))))
     # Slices are made in the tasks, so the split is compared here and the whole in the query's test.
     pw = Powers()
-    cut = {(o, f + i, a) for o, a, f, n, *_ in map_rows(suffixdedup.segments(texts, 40, pw)) for i in range(n)}
+    cut = {(o, f + i, a) for o, a, f, n, *_ in map_rows(suffixdedup.segments(suffixdedup.as_bytes(texts), 40, pw)) for i in range(n)}
     monkeypatch.setattr(suffixdedup, "SLICE", 1 << 20)
-    assert cut == {(o, f + i, a) for o, a, f, n, *_ in map_rows(suffixdedup.segments(texts, 40, pw)) for i in range(n)}
+    assert cut == {(o, f + i, a) for o, a, f, n, *_ in map_rows(suffixdedup.segments(suffixdedup.as_bytes(texts), 40, pw)) for i in range(n)}
+
+
+def test_suffix_dedup_at_the_querys_own_length(spark):
+    rng = random.Random(21)
+    words = vocabulary(rng)
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    texts = []
+    for n in (300, 399, 400, 401, 402, 700, 1200):
+        passage = "<" + text(300)[: n - 2] + ">"
+        for k in range(3):
+            t = text(120)
+            texts.append(t[:250] + str(k) + passage + str(k) + t[250:])
+    near = list(text(300))
+    for _ in range(25):  # near copies, an edit each
+        x = near.copy()
+        x[rng.randrange(len(x))] = "#"
+        texts.append("".join(x))
+    texts += ["ab" * 600, text(200) + "é" * 450, "é" * 420, texts[-1], None, ""]
+    want = brute_repeats(texts, 400)
+    for most in (64, 2):
+        got = {r["doc_id"]: r for r in suffixdedup.remove_repeats(table(spark, texts), 400, most).collect()}
+        assert [tuple(got[i][c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for i in range(len(texts))] == want
+    assert [bool(w[1]) for w in want[:9]] == [False] * 6 + [True] * 3
+
+
+def test_passages_of_words_match_brute_force(spark):
+    rng = random.Random(12)
+    words = vocabulary(rng)
+    passage = [rng.choice(words) for _ in range(40)]
+    texts = []
+    for _ in range(60):
+        t = [rng.choice(words) for _ in range(rng.randint(0, 40))]
+        if rng.random() < 0.6:
+            a = rng.randint(0, 30)
+            t[len(t) // 2 : len(t) // 2] = passage[a : a + rng.randint(3, 14)]
+        texts.append(rng.choice([" ", "\n", "  "]).join(t))
+    texts += [texts[2].swapcase(), " ".join(passage[:7] + ["x"] + passage[:7]), None, "", "one two"]
+    for n in (3, 7):
+        each = [(t or "").lower().split() for t in texts]
+        seen = Counter(tuple(w[i : i + n]) for w in each for i in range(len(w) - n + 1))
+        want = {}
+        for d, w in enumerate(each):
+            hit = {i + j for i in range(len(w) - n + 1) if seen[tuple(w[i : i + n])] > 1 for j in range(n)}
+            if hit:
+                want[d] = len(hit)
+        for most in (64, 1):
+            got = {r["doc_id"]: r["n_words"] for r in suffixdedup.passages(table(spark, texts), n, most).collect()}
+            assert got == want and len(want) > 10
 
 
 def map_rows(parts):
