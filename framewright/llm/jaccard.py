@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framewright.llm.common import materialize, release, small_batches
-from framewright.llm.graph import components
+from framewright.llm.graph import ONE_TASK, components
 from framewright.llm.textkit import Powers, mix64, shingles
 
 SIZE, NUM, DEN = 5, 75, 100
@@ -202,7 +202,8 @@ def _linked(sx: pd.Series, sy: pd.Series) -> pd.Series:
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those pairs (u, v, more columns) whose sets link. The parity sketches, a few bytes a pair,
     rule most pairs out before any set moves: their Hamming distance is a lower bound of the
-    symmetric difference."""
+    symmetric difference. Few links come in one partition: on a local disk Hadoop starts three
+    child processes (chmod) of the executor for each stored file."""
     bits = [f"b{i}" for i in range(SKETCH // 64)]
     side = lambda end: sets.select(
         F.col("node").alias(end), F.col("n").alias(f"n_{end}"), *[F.col("b")[i].alias(f"{b}_{end}") for i, b in enumerate(bits)]
@@ -211,7 +212,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     near = materialize(near, "near-pairs")
     x = sets.select(F.col("node").alias("u"), F.col("s").alias("su"))
     y = sets.select(F.col("node").alias("v"), F.col("s").alias("sv"))
-    return near.join(x, "u").join(y, "v").filter(_linked("su", "sv")).select(*pairs.columns)
+    found = near.join(x, "u").join(y, "v").filter(_linked("su", "sv")).select(*pairs.columns)
+    return found.repartition(1) if near.count() <= ONE_TASK else found
 
 
 def apart_by(bits: list[str], size: str):
@@ -353,8 +355,7 @@ def _roots(hits: DataFrame, sets: DataFrame) -> DataFrame:
             break
         votes = state.filter(F.col("root") != F.col("ru")).filter(fits("n", "nu")).groupBy("node", "root", "u", "ru").count()
         best = votes.groupBy(F.col("node").alias("v"), F.col("root").alias("rv")).agg(F.max_by(F.struct("u", "ru"), F.struct("count", "u")).alias("x"))
-        links = materialize(verified(best.select("v", "rv", "x.u", "x.ru"), sets), "links")
-        roots, state = merged(links)
+        roots, state = merged(verified(best.select("v", "rv", "x.u", "x.ru"), sets))
     # Pairs of a small group are a bounded number a row. In a large group the sketches stand beside
     # the words, so that the join itself drops pairs apart and nothing grows with the group's square.
     sized = materialize(state.groupBy("key").count().filter(F.col("count") > SMALL).select("key"), "large-groups")
@@ -368,9 +369,9 @@ def _roots(hits: DataFrame, sets: DataFrame) -> DataFrame:
         "pairs-apart",
     )
     named = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
-    links = materialize(verified(apart.join(named("u"), "u").join(named("v"), "v"), sets), "links")
+    roots = merged(verified(apart.join(named("u"), "u").join(named("v"), "v"), sets))[0]
     release(spark, held)
-    return merged(links)[0]
+    return roots
 
 
 def clean(docs: DataFrame) -> DataFrame:

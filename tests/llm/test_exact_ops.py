@@ -5,13 +5,15 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from framewright.llm import decontaminate, jaccard, linededup, mixing, secrets, suffixdedup, topk
+from framewright.llm import decontaminate, graph, jaccard, linededup, mixing, secrets, suffixdedup, topk
 from pyspark.sql import functions as F
 
+from framewright.llm.common import setting, shared_dir
 from framewright.llm.graph import components
 from framewright.llm.textkit import Powers, shingles
 
@@ -348,6 +350,46 @@ def test_components_of_chain_star_and_clique(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("most", [1 << 18, 0])
+def test_components_match_plain_union_find(spark, monkeypatch, most):
+    """In one task and in rounds over all tasks alike."""
+    monkeypatch.setattr(graph, "ONE_TASK", most)
+    rng = random.Random(3)
+    ids = [rng.randrange(-(1 << 62), 1 << 62) for _ in range(150)]
+    edges = [(rng.choice(ids), rng.choice(ids)) for _ in range(110)] + [(ids[0], ids[0])] + list(zip(ids[:40], ids[1:40]))
+    edges += edges[:20]
+    root = {i: i for e in edges for i in e if e[0] != e[1]}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        if a != b:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: find(i) for i in root}
+
+
+def test_few_links_are_stored_in_few_files(spark):
+    """Hadoop starts child processes of the executor for each stored file."""
+    rng = random.Random(5)
+    base = [[rng.choice(vocabulary(rng)) for _ in range(60)] for _ in range(12)]
+    texts = [" ".join([*b, f"x{i}"]) for b in base for i in range(4)]
+    before = set(stored(spark))
+    with setting(spark, "spark.sql.shuffle.partitions", "40"), setting(spark, "spark.sql.adaptive.coalescePartitions.enabled", "false"):
+        got = [r["component_id"] for r in jaccard.link(table(spark, texts)).collect()]
+    assert sorted(got) == [i // 4 * 4 for i in range(len(texts))]
+    made = [p for p in stored(spark) if p not in before and re.match("(edges|links|parents)-", p.parent.name)]
+    assert max(Counter(p.parent for p in made).values()) == 1
+
+
+def stored(spark):
+    return Path(shared_dir(spark).removeprefix("file://")).glob("*/*.parquet")
+
+
 def test_shingles_are_words_in_lower_case():
     pw = Powers()
     a, b, c = shingles(["A b C d E f", "a  b\tc d e\nf", "a b c d e"], 5, pw)
